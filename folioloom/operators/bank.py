@@ -52,8 +52,8 @@ def payload_ids(df: DataFrame, payload: str, ordinal: str) -> DataFrame:
     Ids are a prefix sum over ranges of first rows: each range numbers its own payloads,
     so no task sees them all.
     """
-    digest = F.sha2(F.col(payload).cast("binary"), 256)
-    first = df.groupBy(digest.alias("digest")).agg(F.min(ordinal).alias("first_row"), F.count("*").alias("n"))
+    raw = F.col(payload) if df.schema[payload].dataType.typeName() == "binary" else F.col(payload).cast("string").cast("binary")
+    first = df.groupBy(F.sha2(raw, 256).alias("digest")).agg(F.min(ordinal).alias("first_row"), F.count("*").alias("n"))
     ranges = F.floor(F.col("first_row") / 4096)
     base = first.groupBy(ranges.alias("r")).agg(F.count("*").alias("c"))
     base = base.withColumn("base", F.sum("c").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
