@@ -50,7 +50,7 @@ def _word_hash(word: bytes) -> int:
 
 @lru_cache(maxsize=1)
 def _memo() -> Memo:
-    return Memo(_word_hash, 400_000)
+    return Memo(_word_hash, 150_000)
 
 
 def word_hashes(text: bytes) -> np.ndarray:

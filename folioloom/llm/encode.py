@@ -41,7 +41,7 @@ _BYTE_BOUNDARY = re.compile(rf"(?<=[!-~{_LETTER}]) (?=[!-~{_LETTER}])")
 class Encoder:
     """Encodes whole texts; equal to the library's ``encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 200_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 

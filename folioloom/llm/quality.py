@@ -33,7 +33,7 @@ SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD = 4096, 32, 25, 4, 0.3
 _WORDS, _SHAPES, _LENGTHS = 2048, 512, 24
 _REPEAT = _WORDS + _SHAPES
 _SIZE = _REPEAT + 1 + _LENGTHS
-_MEMO = 300_000
+_MEMO = 150_000
 
 
 def _shape(word: str) -> str:
