@@ -1 +1 @@
-"""Structured Streaming forms of the operators; none yet."""
+"""Structured Streaming forms of the operators."""

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as fx
-from folioloom.operators import bank, interval, rank, segment
+from folioloom.operators import bank, graph, interval, joins, rank, records, segment
+from folioloom.plans import records as record_plans  # noqa: F401 - adds to the slate
 from folioloom.plans import slate
 from folioloom.sources import answers
+from folioloom.streaming import windows
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -98,3 +100,47 @@ def test_bank_replaces_one_source(spark, tmp_path):
     answers.save_bank(spark.createDataFrame([("a", 1), ("b", 1)], "source_id string, n int"), path)
     answers.save_bank(spark.createDataFrame([("a", 2), ("a", 3)], "source_id string, n int"), path)
     assert sorted((r.source_id, r.n) for r in spark.read.parquet(path).collect()) == [("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_components_against_union_find(spark):
+    links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 21), (21, 3), (5, 5), (None, 1)] + [(k, k + 1) for k in range(100, 180)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            top[b] = a
+    got = graph.components(spark.createDataFrame(links, "a long, b long"))
+    assert {(r.node, r.component) for r in got.collect()} == {(k, find(k)) for k in top}
+
+
+def test_request_over_the_limit_is_refused(spark):
+    df = spark.range(5)
+    assert records.guard(df, 5, "rows").count() == 5 and records.guard(df.where("id > 9"), 5, "rows").count() == 0
+    with pytest.raises(Exception, match="more than 4 rows"):
+        records.guard(df, 4, "rows").collect()
+
+
+def test_nearest_without_marks(spark):
+    facts = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "k long, at long, f string")
+    marks = spark.createDataFrame([(1, 7, 70), (1, 3, 30), (1, 3, 29)], "k long, at long, mark long")
+    assert {(r.f, r.mark) for r in joins.nearest(facts, marks, ["k"], "at", "mark").collect()} == {("a", 29), ("b", None)}
+
+
+def test_stream_emits_the_windows_of_the_table(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    (tmp_path / "in").mkdir()
+    events.where("event_id < 500").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events.where("event_id >= 500").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windows.tumbling(stream, "ts", ["event_type"], "value", "1 hour").writeStream.format("parquet").outputMode("append")
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    closed = rows(spark.read.parquet(str(tmp_path / "out")))
+    whole = rows(windows.tumbling(events, "ts", ["event_type"], "value", "1 hour"))
+    assert closed <= whole and len(whole) - len(closed) <= 2 * 5 and len(closed) > 500
