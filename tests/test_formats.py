@@ -1,7 +1,15 @@
 """Readers, parsers and writers against fixed cases and round trips."""
 
+import io
+import zipfile
+from email import message_from_bytes
+from email.policy import default
+
+import pytest
+from pyspark.sql import functions as F
+
 from folioloom.functions import markup
-from folioloom.sources import keytext
+from folioloom.sources import keytext, outputs, package
 
 
 def got(text):
@@ -66,3 +74,64 @@ def test_blocks_as_a_table(spark):
     df = spark.createDataFrame([(1, "a\n| x |\n|---|\n| y |"), (2, None)], "k long, t string")
     rows = {r.k: r.blocks for r in markup.parsed(df, "k", "t").collect()}
     assert [b.kind for b in rows[1]] == ["text", "table"] and rows[1][1].rows == [["x"], ["y"]] and rows[2][0].text == ""
+
+
+HEADER = '<hh:head xmlns:hh="urn:head"><hh:charPr id="0"><hh:bold/><hh:underline type="BOTTOM"/></hh:charPr></hh:head>'
+
+
+def section(body):
+    return f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="urn:sec" xmlns:hp="urn:paragraph">{body}</hs:sec>'
+
+
+def paragraph(text):
+    return f'<hp:p id="42"><hp:run charPrIDRef="0"><hp:t>{text}</hp:t></hp:run></hp:p>'
+
+
+def test_package(spark):
+    cell = lambda text, row, column: f'<hp:tc><hp:subList>{paragraph(text)}</hp:subList><hp:cellAddr rowAddr="{row}" colAddr="{column}"/><hp:cellSpan rowSpan="1" colSpan="2"/></hp:tc>'
+    table = f"<hp:p><hp:run><hp:tbl><hp:tr>{cell('a', 0, 0)}</hp:tr><hp:tr>{cell('b', 1, 0)}</hp:tr></hp:tbl></hp:run></hp:p>"
+    good = outputs.packed([("Contents/header.xml", HEADER.encode()), ("Contents/section10.xml", section(paragraph("last")).encode()), ("Contents/section2.xml", section(paragraph("1. 가 &amp; 나<hp:lineBreak/>둘째 줄<hp:tab/>끝") + table).encode())])
+    bad = {"entity": outputs.packed([("Contents/section0.xml", b'<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>')]), "path": outputs.packed([("../x", b"")]), "none": b"", "cut": good[:-30]}
+    df = spark.createDataFrame([("good", good), *bad.items()], "name string, content binary")
+    rows = package.unpacked(df, "name", "content").collect()
+    at = sorted((r for r in rows if r.name == "good"), key=lambda r: r.ord)
+    assert [(r.section, r.kind) for r in at] == [(2, "text"), (2, "table"), (10, "text")]
+    assert at[0].text == "1. 가 & 나\n둘째 줄\t끝" and at[0].styled == f"<b><u>{at[0].text}</u></b>"
+    assert [(c.row, c.column, c.column_span, c.text) for c in at[1].cells] == [(0, 0, 2, "a"), (1, 0, 2, "b")]
+    assert {r.name for r in rows if r.error} == set(bad) and len(rows) == 3 + len(bad)
+
+
+def test_documents_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("g", 2, "x\ty\nz & <w>"), ("g", 1, None), ("h", 1, "한글")], "g string, o int, t string")
+    for r in outputs.documents(df, "g", "o", "t").collect():
+        (tmp_path / f"{r.g}.docx").write_bytes(r.content)
+    rows = package.read_packages(spark, str(tmp_path)).orderBy("path", "ord").collect()
+    assert [(r.path[-6:-5], r.text) for r in rows] == [("g", ""), ("g", "x\ty\nz & <w>"), ("h", "한글")]
+
+
+def test_archives_and_csv(spark):
+    df = spark.createDataFrame([("g", 2, "=1+1", "b"), ("g", 1, 'say "x"', None), ("h", 1, "plain", "c")], "g string, o int, v string, w string")
+    texts = {r.g: r.content for r in outputs.answer_csv(df, "g", "o", ["v", "w"]).collect()}
+    assert texts["g"] == '﻿"v","w"\r\n"say ""x""",""\r\n"\'=1+1","b"\r\n'
+    made = {r.g: r.content for r in outputs.archives(df, "g", "o", "v").collect()}
+    with zipfile.ZipFile(io.BytesIO(made["g"])) as z:
+        assert z.namelist() == ["1", "2"] and z.read("2") == b"=1+1" and z.testzip() is None
+    with pytest.raises(ValueError, match="exceed"):
+        outputs.archives(df, "g", "o", "v", 8)
+
+
+def test_review_round_trip(spark):
+    df = spark.createDataFrame([("s", 2, "b", 1.5), ("s", 1, "a", None)], "s string, n int, text string, score double")
+    texts = outputs.review_json(df, "s", "n", ["n", "text", "score"])
+    back = outputs.read_review(texts, "content", "struct<n:int,text:string,score:double>")
+    assert [(r.s, r.ord, r.q.n, r.q.text, r.q.score) for r in back.orderBy("ord").collect()] == [("s", 0, 1, "a", None), ("s", 1, 2, "b", 1.5)]
+    old = texts.selectExpr("s", """replace(content, '"version":1', '"version":9') as content""")
+    with pytest.raises(Exception, match="unknown version"):
+        outputs.read_review(old, "content", "struct<n:int>").collect()
+
+
+def test_draft(spark):
+    df = spark.createDataFrame([("a@example.org", "제목\r\nBcc: x", "body", "f.bin", b"\x00\x01"), ("a@example.org", "s", None, None, None)], "t string, s string, b string, n string, a binary")
+    one, two = [message_from_bytes(r.m, policy=default) for r in df.select(outputs.draft(*map(F.col, "tsbna")).alias("m")).collect()]
+    assert one["Subject"] == "제목 Bcc: x" and one["Bcc"] is None
+    assert next(one.iter_attachments()).get_content() == b"\x00\x01" and not two.is_multipart()
