@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioloom.functions import markup
 from folioloom.operators import graph, joins, records
 from folioloom.plans.slate import query
+from folioloom.sources import keytext
 from folioloom.streaming import windows
 
 C = F.col
@@ -246,3 +248,29 @@ s as (select *, sum(case when pause is null or pause >= interval 30 minutes then
 select user_id, min(ts) as since, max(ts) + interval 30 minutes as until, count(*) as n, round(sum(value), 4) as amount from s group by user_id, session""")
 def event_sessions(spark, t):
     return windows.sessions(t("events"), "ts", ["user_id"], "value", "30 minutes")
+
+
+def _ordered_lines(t, line):
+    """One text for each order, a line for each of its items in the order of their columns."""
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    lines = F.transform(listed, line)
+    return t("lineitem").groupBy("l_orderkey").agg(F.array_join(lines, "\n").alias("lines"))
+
+
+@query("""select l_orderkey, l_linenumber as number, cast(cast(l_quantity as bigint) as varchar) as value, count(*) as n from lineitem where l_linenumber > 0 group by 1, 2, 3""")
+def key_text(spark, t):
+    """Orders written as answer keys and parsed again: every item comes back."""
+    texts = _ordered_lines(t, lambda r: F.concat(r["l_linenumber"], F.lit(". "), r["l_quantity"].cast("bigint")))
+    entries = keytext.parsed_keys(texts.withColumn("lines", F.concat(F.lit("정답\n"), "lines")), "l_orderkey", "lines")
+    return entries.where("warning is null").groupBy("l_orderkey", "number", "value").agg(F.count("*").alias("n"))
+
+
+@query("""select l_orderkey, 3 as n_blocks, count(*) + 1 as n_rows, cast(sum(l_partkey) as bigint) as parts from lineitem group by 1""")
+def markup_tables(spark, t):
+    """Orders written as pipe tables between prose and parsed again."""
+    texts = _ordered_lines(t, lambda r: F.concat(F.lit("| "), r["l_partkey"], F.lit(" | $|x|$ |")))
+    text = F.concat(F.lit("before\n| part | note |\n|---|---|\n"), "lines", F.lit("\nafter"))
+    found = markup.parsed(texts.select("l_orderkey", text.alias("text")), "l_orderkey", "text")
+    body = F.slice(C("blocks")[1]["rows"], 2, 1 << 30)
+    total = F.aggregate(F.transform(body, lambda r: r[0].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.select("l_orderkey", F.size("blocks").alias("n_blocks"), F.size(C("blocks")[1]["rows"]).cast("bigint").alias("n_rows"), total.alias("parts"))
