@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioloom.functions import markup
+from folioloom.functions import formula, markup
 from folioloom.operators import graph, joins, records
 from folioloom.plans.slate import query
 from folioloom.sources import keytext
@@ -274,3 +274,33 @@ def markup_tables(spark, t):
     body = F.slice(C("blocks")[1]["rows"], 2, 1 << 30)
     total = F.aggregate(F.transform(body, lambda r: r[0].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.select("l_orderkey", F.size("blocks").alias("n_blocks"), F.size(C("blocks")[1]["rows"]).cast("bigint").alias("n_rows"), total.alias("parts"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, '{{it x}} _ {' || l_partkey || '} = {' || l_suppkey || '} OVER {' || l_linenumber || '}' as script,
+length('' || l_partkey) * 58 + length('' || l_suppkey) as key, true as balanced from lineitem""")
+def equation_script(spark, t):
+    """Items written as LaTeX and converted; the Office form must hold the same numbers in order."""
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    latex = F.format_string("x_{%d}=\\frac{%d}{%d}", "l_partkey", "l_suppkey", "l_linenumber")
+    found = formula.converted(t("lineitem").select(key.alias("item"), latex.alias("latex")), "item", "latex")
+    shown = F.regexp_replace("office", "<[^>]*>", "")
+    expected = F.concat(F.lit("x"), C("item.l_partkey"), F.lit("="), C("item.l_suppkey"), C("item.l_linenumber"))
+    sizes = F.length(C("item.l_partkey").cast("string")) * 58 + F.length(C("item.l_suppkey").cast("string"))
+    return found.select("item.*", "script", sizes.cast("bigint").alias("key"), (shown == expected).alias("balanced"))
+
+
+@query("""select l_orderkey, count(*) as n_formulae, cast(sum(length('' || l_partkey)) + 4 * count(*) as bigint) as n_chars, count(*) filter (where l_quantity > 25) as n_display from lineitem group by 1""")
+def math_split(spark, t):
+    """Orders written as prose with a formula for each item, in four notations, and split again."""
+    body = lambda r: F.concat(F.lit("a_{"), r["l_partkey"], F.lit("}"))
+    marked = lambda r: F.when(r["l_quantity"] > 40, F.concat(F.lit("$$"), body(r), F.lit("$$"))).when(r["l_quantity"] > 25, F.concat(F.lit("\\["), body(r), F.lit("\\]"))).when(r["l_quantity"] > 10, F.concat(F.lit("\\("), body(r), F.lit("\\)"))).otherwise(F.concat(F.lit("$"), body(r), F.lit("$")))
+    texts = _ordered_lines(t, lambda r: F.concat(F.lit("① $5 "), marked(r), F.lit(" end")))
+    texts = texts.withColumn("lines", F.regexp_replace("lines", "① \\$5 ", "item "))
+    parts = formula.spans(texts, "l_orderkey", "lines").where("is_math")
+    return parts.groupBy("l_orderkey").agg(F.count("*").alias("n_formulae"), F.sum(F.length("text")).alias("n_chars"), F.count_if("display").alias("n_display"))
+
+
+@query(r"""select doc_id, len(regexp_extract_all(replace(text, '\$', ''), '[$]')) % 2 = 1 as unbalanced, regexp_matches(text, '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]') as damaged from documents""")
+def math_audit(spark, t):
+    found = formula.audited(t("documents"), "doc_id", "text")
+    return found.select("doc_id", F.array_contains("issues", "latex_unbalanced").alias("unbalanced"), F.array_contains("issues", "invalid_control_character").alias("damaged"))
