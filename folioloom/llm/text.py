@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Rows are handled in slices of about so many text bytes, to bound memory.
-SLICE_BYTES = 4 << 20
+#: Rows are handled in slices of about so many text bytes; memos are trimmed after each, so this bounds both.
+SLICE_BYTES = 1 << 20
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
