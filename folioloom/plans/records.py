@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioloom.functions import formula, markup
+from folioloom.functions import formula, markup, native
 from folioloom.operators import graph, joins, records
 from folioloom.plans.slate import query
 from folioloom.sources import keytext
@@ -304,3 +304,11 @@ def math_split(spark, t):
 def math_audit(spark, t):
     found = formula.audited(t("documents"), "doc_id", "text")
     return found.select("doc_id", F.array_contains("issues", "latex_unbalanced").alias("unbalanced"), F.array_contains("issues", "invalid_control_character").alias("damaged"))
+
+
+@query(r"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity > 25 then '\frac{{' || l_partkey || '}}{{' || l_suppkey || '}} = x_{' || l_linenumber || '}' end as latex from lineitem""")
+def script_latex(spark, t):
+    """Items written as native scripts; those of small quantity leave out the braces, which is outside the subset."""
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    ratio = F.when(C("l_quantity") > 25, F.format_string("{%d} OVER {%d} = x _ %d", "l_partkey", "l_suppkey", "l_linenumber")).otherwise(F.lit("a + b OVER c"))
+    return native.to_latex(t("lineitem").select(key.alias("item"), ratio.alias("script")), "item", "script").select("item.*", "latex")
