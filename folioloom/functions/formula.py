@@ -380,7 +380,10 @@ def measure(latex: str | None, points: float = 10, display: bool = False) -> tup
     """Width, height and baseline estimates in hundredths of a point."""
     if not 1 <= points <= 100:
         raise FormulaError("font size")
-    p = _native_row(parse(latex, display))
+    return _size(_native_row(parse(latex, display)), points)
+
+
+def _size(p: Part, points: float) -> tuple[int, int, int]:
     width, height, baseline = (math.ceil(em * round(points * 100) * 1.1) for em in (p.width, p.above + p.below, p.above))
     return width, height, baseline
 
@@ -613,7 +616,9 @@ def converted(df: DataFrame, id_col: str, text_col: str, display: bool = False)
 
     def rows(latex):
         try:
-            return native_script(latex, display), office_math(latex, display), *measure(latex, display=display), None
+            tree = parse(latex, display)
+            part = _native_row(tree)
+            return part.script, _m("oMath", _omml_row(tree)), *_size(part, 10), None
         except FormulaError as e:
             return None, None, None, None, None, str(e)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioloom.functions import formula, markup, native
+from folioloom.functions import formula, markup, native, styled
 from folioloom.operators import graph, joins, records
 from folioloom.plans.slate import query
 from folioloom.sources import keytext
@@ -276,8 +276,7 @@ def markup_tables(spark, t):
     return found.select("l_orderkey", F.size("blocks").alias("n_blocks"), F.size(C("blocks")[1]["rows"]).cast("bigint").alias("n_rows"), total.alias("parts"))
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, '{{it x}} _ {' || l_partkey || '} = {' || l_suppkey || '} OVER {' || l_linenumber || '}' as script,
-length('' || l_partkey) * 58 + length('' || l_suppkey) as key, true as balanced from lineitem""")
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, '{{it x}} _ {' || l_partkey || '} = {' || l_suppkey || '} OVER {' || l_linenumber || '}' as script, true as same_numbers from lineitem""")
 def equation_script(spark, t):
     """Items written as LaTeX and converted; the Office form must hold the same numbers in order."""
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -285,8 +284,7 @@ def equation_script(spark, t):
     found = formula.converted(t("lineitem").select(key.alias("item"), latex.alias("latex")), "item", "latex")
     shown = F.regexp_replace("office", "<[^>]*>", "")
     expected = F.concat(F.lit("x"), C("item.l_partkey"), F.lit("="), C("item.l_suppkey"), C("item.l_linenumber"))
-    sizes = F.length(C("item.l_partkey").cast("string")) * 58 + F.length(C("item.l_suppkey").cast("string"))
-    return found.select("item.*", "script", sizes.cast("bigint").alias("key"), (shown == expected).alias("balanced"))
+    return found.select("item.*", "script", (shown == expected).alias("same_numbers"))
 
 
 @query("""select l_orderkey, count(*) as n_formulae, cast(sum(length('' || l_partkey)) + 4 * count(*) as bigint) as n_chars, count(*) filter (where l_quantity > 25) as n_display from lineitem group by 1""")
@@ -300,9 +298,12 @@ def math_split(spark, t):
     return parts.groupBy("l_orderkey").agg(F.count("*").alias("n_formulae"), F.sum(F.length("text")).alias("n_chars"), F.count_if("display").alias("n_display"))
 
 
-@query(r"""select doc_id, len(regexp_extract_all(replace(text, '\$', ''), '[$]')) % 2 = 1 as unbalanced, regexp_matches(text, '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]') as damaged from documents""")
+@query(r"""with d as (select doc_id, case when doc_id % 3 = 0 then '$x ' else '' end || case when doc_id % 5 = 0 then chr(1) else '' end || text as text from documents)
+select doc_id, len(regexp_extract_all(replace(text, '\$', ''), '[$]')) % 2 = 1 as unbalanced, regexp_matches(text, '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]') as damaged from d""")
 def math_audit(spark, t):
-    found = formula.audited(t("documents"), "doc_id", "text")
+    """Every third text opens a formula that it does not close and every fifth holds a control character, so that all outcomes occur."""
+    spoilt = F.concat(F.when(C("doc_id") % 3 == 0, "$x ").otherwise(""), F.when(C("doc_id") % 5 == 0, "\x01").otherwise(""), "text")
+    found = formula.audited(t("documents").select("doc_id", spoilt.alias("text")), "doc_id", "text")
     return found.select("doc_id", F.array_contains("issues", "latex_unbalanced").alias("unbalanced"), F.array_contains("issues", "invalid_control_character").alias("damaged"))
 
 
@@ -312,3 +313,12 @@ def script_latex(spark, t):
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     ratio = F.when(C("l_quantity") > 25, F.format_string("{%d} OVER {%d} = x _ %d", "l_partkey", "l_suppkey", "l_linenumber")).otherwise(F.lit("a + b OVER c"))
     return native.to_latex(t("lineitem").select(key.alias("item"), ratio.alias("script")), "item", "script").select("item.*", "latex")
+
+
+@query("""select l_orderkey, count(*) as n_bold, cast(sum(length('' || l_partkey)) as bigint) as n_chars, count(*) filter (where l_quantity > 25) as n_underlined from lineitem group by 1""")
+def styled_runs(spark, t):
+    """Orders written with each part in bold, some underlined too, and cut into runs again."""
+    part = lambda r: F.when(r["l_quantity"] > 25, F.concat(F.lit("<u><b>"), r["l_partkey"], F.lit("</b></u>"))).otherwise(F.concat(F.lit("[b]"), r["l_partkey"], F.lit("[/b]")))
+    texts = _ordered_lines(t, lambda r: F.concat(F.lit("part "), part(r)))
+    found = styled.split_runs(texts, "l_orderkey", "lines").where("bold")
+    return found.groupBy("l_orderkey").agg(F.count("*").alias("n_bold"), F.sum(F.length("text")).alias("n_chars"), F.count_if("underline").alias("n_underlined"))
