@@ -21,6 +21,14 @@ Links: fingerprints that differ in at most two bits.
 Copies share a fingerprint and cost one row after a partial aggregation, so the
 size of a group of copies does not matter.  Null ids are kept, but never name a
 component unless all ids of it are null; repeated rows behave like copies.
+
+With ``jaccard`` (the pipeline's stage), documents are linked as well if the sets
+of their 5-word shingles are at least so similar.  Such pairs differ in about ten
+bits, beyond any grid, so candidates come from MinHash bands: equal in one of
+BANDS bands of ROWS minima (at similarity 0.8, all but 1 in 13,000 are), then the
+exact similarity.  In a cell of over CELL_MOST sets not every pair is a candidate:
+members meet the cell's most central member and one picked by hash, and all
+pairs of each cell that two bands make together if that one is small.
 """
 
 from __future__ import annotations
@@ -40,6 +48,8 @@ from folioloom.llm.text import raw_texts, slices
 
 SHINGLE, MAX_BITS, CELL_MOST = 3, 2, 16
 _BLOCKS = (7, 7, 6, 6, 6)  # segments in each block
+NEAR_SHINGLE, BANDS, ROWS, SIEVE_BITS = 5, 24, 5, 24
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes) -> int:
@@ -134,12 +144,116 @@ def links(fps: DataFrame, space: Workspace, cell_most: int = CELL_MOST) -> DataF
     return pairs.unionByName(stars).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_most: int = CELL_MOST) -> DataFrame:
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the 5-word shingles (fewer words: the whole sequence)."""
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    k = min(n, NEAR_SHINGLE)
+    out = np.full(n - k + 1, k, np.uint64)
+    for j in range(k):
+        out ^= h[j : n - k + 1 + j]
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+_RANDOM = np.random.default_rng(10).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band of minima over the set, which must not be empty."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0), np.uint64)
+    for k in range(0, len(shingles), 2048):
+        np.minimum(least, ((shingles[k : k + 2048, None] ^ _RANDOM[0]) * _RANDOM[1]).min(0), out=least)
+    keys = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp, and of texts with words: sig (of the shingle set), bands, shingles."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = raw_texts(batch.column(1))
+            sets = [shingle_set(t) for t in texts]
+            fps = pa.array([fingerprint(t) for t in texts], pa.int64())
+            sigs = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else None for s in sets], pa.int64())
+            bands = pa.array([band_keys(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, sigs, bands, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "fp", "sig", "bands", "shingles"])
+
+    return source.mapInArrow(run, f"id {kind}, fp bigint, sig bigint, bands array<bigint>, shingles array<bigint>")
+
+
+def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame]:
+    """``cells``: sig, band, key.  Candidates a, b, and the sigs of crowded cells."""
+    shared = space.table(cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-shared")
+    members = space.table(cells.join(shared, ["band", "key"]), f"{name}-members")
+    small = members.where(F.col("n") <= cell_most).groupBy("band", "key").agg(F.collect_list("sig").alias("sigs"))
+    pairs = small.select("sigs", F.explode("sigs").alias("a")).select("a", F.explode("sigs").alias("b")).where("a < b")
+    crowd = members.where(F.col("n") > cell_most)
+    weight = crowd.groupBy("sig").agg(F.sum("n").alias("weight"))
+    pivots = crowd.join(weight, "sig").groupBy("band", "key").agg(F.max_by("sig", F.struct("weight", "sig")).alias("central"), F.min_by("sig", F.xxhash64("sig", "band")).alias("picked"))
+    stars = crowd.join(pivots, ["band", "key"]).select("sig", F.explode(F.array("central", "picked")).alias("pivot")).where("sig <> pivot")
+    return pairs.unionByName(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))).distinct(), weight.select("sig")
+
+
+def _sieved(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """sig, shingles of the needed sigs (and of few others), so that not every set is shuffled; the filter has a fixed size."""
+    slot = F.col("sig").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    words = needed.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("bits")).toArrow()
+    sieve = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
+            yield batch.filter(pa.array((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return rows.select("sig", "shingles").mapInArrow(run, "sig bigint, shingles array<bigint>")
+
+
+def near_links(marked: DataFrame, space: Workspace, jaccard: float, cell_most: int = CELL_MOST) -> DataFrame:
+    """``marked``: as of ``marks``.  Links a, b of the fingerprints of sets that are at least ``jaccard`` similar."""
+    rows = marked.where("sig is not null")
+    kinds = space.table(rows.select("sig", "fp").distinct(), "kinds")
+    names = space.table(kinds.groupBy("sig").agg(F.min("fp").alias("name")), "names")
+    same = kinds.join(names, "sig").where("fp <> name").select(F.col("name").alias("a"), F.col("fp").alias("b"))
+    nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands")), "nodes")
+    pairs, crowded = _meetings(nodes.select("sig", F.posexplode("bands").alias("band", "key")), space, "bands", cell_most)
+    crowded = space.table(crowded, "crowded")
+    two = F.transform("bands", lambda key, k: F.xxhash64(key, F.element_at("bands", (k + 1) % BANDS + 1)))
+    finer, _ = _meetings(nodes.join(crowded, "sig", "left_semi").select("sig", F.posexplode(two).alias("band", "key")), space, "finer", cell_most)
+    pairs = space.table(pairs.unionByName(finer).distinct(), "pairs")
+    sets = _sieved(rows, pairs.select(F.explode(F.array("a", "b")).alias("sig"))).groupBy("sig").agg(F.first("shingles").alias("shingles"))
+    sets = space.table(sets.join(names, "sig"), "sets")
+    left, right = (sets.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp"), F.col("shingles").alias(f"{c}_set"), F.size("shingles").alias(f"{c}_n")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").where(F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n"))
+    equal = F.size(F.array_intersect("a_set", "b_set"))
+    close = both.select("a_fp", "b_fp", "a_n", "b_n", equal.alias("n")).where(F.col("n") >= F.lit(jaccard) * (F.col("a_n") + F.col("b_n") - F.col("n")))
+    return same.unionByName(close.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_most: int = CELL_MOST, jaccard: float | None = None) -> DataFrame:
     """id, fp, component_id (smallest id that links reach) of every document."""
     space = Workspace(docs.sparkSession, "simhash")
-    fps = space.table(fingerprints(docs, id_col, text_col), "fps")
+    marked = None if jaccard is None else space.table(marks(docs, id_col, text_col), "marks")
+    fps = space.table(fingerprints(docs, id_col, text_col), "fps") if marked is None else space.table(marked.select("id", "fp"), "fps")
     nodes = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    found = space.table(links(nodes.select("fp"), space, cell_most), "links")
+    found = links(nodes.select("fp"), space, cell_most)
+    if marked is not None:
+        found = found.unionByName(near_links(marked, space, jaccard, cell_most)).distinct()
+    found = space.table(found, "links")
+    if marked is not None:
+        space.drop("marks", "sets")
     labels = connected_components(found, space)
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -147,13 +261,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they came.
 
     Rows whose id is null have no name to be removed by and stay.  Where an id
     occurs in several rows, these are one document: one row of it stays.
     """
-    groups = components(docs, id_col, text_col)
+    groups = components(docs, id_col, text_col, jaccard=jaccard)
     space = Workspace(docs.sparkSession, "simhash-keep")
     ids = groups.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("__top"), F.count("*").alias("__n"))
     ids = space.table(ids.where("__id is not null and (__top <> __id or __n > 1)"), "ids")

@@ -424,6 +424,31 @@ def test_simhash_links_near_fingerprints_and_crowds(spark, cell_most):
     assert set(map(frozenset, groups.values())) == set(map(frozenset, want.values()))
 
 
+@pytest.mark.parametrize("cell_most", [2, 16])
+def test_near_copies_share_a_component(spark, cell_most):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(900)]
+    table = []
+    for size in (3, 2, 40, 5, 4, 2):
+        base = prose(rng, 200, vocabulary).split()
+        for k in range(size):
+            copy = list(base)
+            for j in rng.sample(range(200), min(k, 3)):
+                copy[j] = f"new{rng.random()}"
+            table.append((len(table), " ".join(copy)))
+    table += [(len(table), None), (len(table) + 1, table[0][1].upper()), (len(table) + 2, prose(rng, 200, vocabulary))]
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, t in table for w in [(t or "").lower().split()]}
+    top = {k: k for k in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.components(docs, cell_most=cell_most, jaccard=0.8).collect()} == top
+    assert {r.doc_id for r in simhash.keep_one(docs, jaccard=0.8).collect()} == set(top.values())
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(k * 17 % 1000, (k + 1) * 17 % 1000) for k in range(999)] + [(5000, 5001), (7, 7)]
     got = components.connected_components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t")).collect()
