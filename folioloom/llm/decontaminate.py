@@ -4,13 +4,14 @@ Words are compared lower-cased and without punctuation at their ends; words of
 punctuation alone do not count.  A seed is a fixed mask over successive words:
 its ``0`` positions are ignored, so a substitution there does not change the
 hash.  The three masks hit every 13-word window with up to two substituted
-words.  Hashes of the corpus that may occur in the benchmark are joined with the
+words; items of 5 to 12 words have masks of their own, by length, which lie over an
+item with up to one (5 to 9 words) or two (10 to 12) substituted words, wherever
+these are.  Hashes of the corpus that may occur in the benchmark are joined with the
 benchmark's; around every hit the words of both sides are compared along the
 diagonal, and a document is contaminated by an item where a window of 13 words
 (or the whole item, if shorter) agrees in at least 80 % of its places.
 
-Items of 5 to 7 words are found where they stand unchanged; items of fewer
-than 5 words cannot be told from chance and match nothing.  Null and empty texts
+Items of fewer than 5 words cannot be told from chance and match nothing.  Null and empty texts
 match nothing.  Equal items are searched once, under their smallest id
 (``n_items`` tells how many they are).  Repeated rows and null ids of documents
 are reported like others; other columns are not read.
@@ -37,6 +38,8 @@ from folioloom.llm.text import Memo, raw_texts, slices
 
 #: Any window of WINDOW words with up to two substitutions holds one of these whole.
 MASKS = ("11101111", "11010010111", "1101110011")
+#: By length of a shorter item: whatever words the SHARE lets differ, one of these lies over it at some place that avoids them.
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("10111", "11101"), 7: ("11011",), 8: ("10111",), 9: ("10111",), 10: ("1111", "10111"), 11: ("10111",), 12: ("10111",)}
 WINDOW, SHARE, LEAST_WORDS = 13, 0.8, 5
 FILTER_BITS = (20, 22)
 _ENDS = ".,;:!?\"'()[]{}<>*_`~#$%&|/\\-–—…«»“”‘’"
@@ -59,11 +62,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     return h[h != 0]
 
 
-def _patterns(n_words: int | None = None) -> list[str]:
-    """The masks, or for an item shorter than all of them one that takes its words as they stand."""
-    if n_words is not None and n_words < min(map(len, MASKS)):
-        return ["1" * n_words] if n_words >= LEAST_WORDS else []
-    return list(MASKS)
+def _patterns(n_words: int) -> tuple[str, ...]:
+    """The masks for an item of so many words."""
+    return MASKS if n_words >= WINDOW else SHORT_MASKS.get(n_words, ())
 
 
 def seed_hashes(h: np.ndarray, pattern: str) -> np.ndarray:
@@ -80,9 +81,6 @@ def seed_hashes(h: np.ndarray, pattern: str) -> np.ndarray:
     return out
 
 
-_SHORT = ["1" * n for n in range(LEAST_WORDS, min(map(len, MASKS)))]
-
-
 def _items(benchmark: DataFrame, id_col: str, text_col: str, space: Workspace) -> DataFrame:
     """item_id (smallest of equal items), n_items, words (hashes, eight bytes each)."""
     source = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -145,8 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_kind = items.schema["item_id"].dataType.simpleString()
     seeds = space.table(items.select("words", "item_id").mapInArrow(_seeds, f"hash bigint, item_id {item_kind}, item_pos int"), "seeds")
     marks = spark.sparkContext.broadcast(_filters(seeds))
-    short = {int(r.n) for r in items.select(F.expr("length(words) div 8").alias("n")).where(f"n < {min(map(len, MASKS))}").distinct().collect()}
-    patterns = [p for p in _SHORT if len(p) in short] + list(MASKS)
+    short = {int(r.n) for r in items.select(F.expr("length(words) div 8").alias("n")).where(f"n < {WINDOW}").distinct().collect()}
+    patterns = sorted({p for n in short for p in _patterns(n)}) + list(MASKS)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     doc_kind = source.schema["id"].dataType.simpleString()
     reach, around = max(map(len, MASKS)), WINDOW

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -362,6 +363,29 @@ def test_decontamination_against_brute_force(spark, empty):
     assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_short_masks_hit_every_substitution_that_the_share_allows():
+    for n in range(decontaminate.LEAST_WORDS, decontaminate.WINDOW):
+        for places in combinations(range(n), n - math.ceil(0.8 * n)):
+            assert any(all(m[k] == "0" or o + k not in places for k in range(len(m))) for m in decontaminate._patterns(n) for o in range(n - len(m) + 1)), (n, places)
+
+
+def test_short_items_are_found_with_substitutions(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = {n: prose(rng, n, vocabulary).split() for n in range(5, 13)}
+    table, want = [], set()
+    for n, item in items.items():
+        allowed = n - math.ceil(0.8 * n)
+        for size in (0, allowed, allowed + 1):
+            for places in combinations(range(n), size):
+                part = [f"x{rng.random()}" if k in places else w for k, w in enumerate(item)]
+                if size <= allowed:
+                    want.add((len(table), n))
+                table.append((len(table), " ".join([*(f"y{rng.random()}" for _ in range(20)), *part, *(f"z{rng.random()}" for _ in range(20))])))
+    found = decontaminate.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 
