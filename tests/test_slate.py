@@ -119,6 +119,18 @@ def test_components_against_union_find(spark):
     assert {(r.node, r.component) for r in got.collect()} == {(k, find(k)) for k in top}
 
 
+def test_connected_components_takes_every_order(spark, tmp_path):
+    orders = [(k, k * 7 % 11) for k in range(1, 60, 3)] + [(100, 80), (102, 41), (103, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    top = {k: k for o, c in orders if c % 40 for k in (o, o + c % 40)}
+    for _ in top:
+        for o, c in orders:
+            if c % 40:
+                top[o] = top[o + c % 40] = min(top[o], top[o + c % 40])
+    got = slate.QUERIES["connected_components"](spark, str(tmp_path)).collect()
+    assert {r.node: r.component for r in got} == top and len(got) == len(top)
+
+
 def test_request_over_the_limit_is_refused(spark):
     df = spark.range(5)
     assert records.guard(df, 5, "rows").count() == 5 and records.guard(df.where("id > 9"), 5, "rows").count() == 0
