@@ -6,24 +6,28 @@ its ``0`` positions are ignored, so a substitution there does not change the
 hash.  The three masks hit every 13-word window with up to two substituted
 words; items of 5 to 12 words have masks of their own, by length, which lie over an
 item with up to one (5 to 9 words) or two (10 to 12) substituted words, wherever
-these are.  Hashes of the corpus that may occur in the benchmark are joined with the
+these are.  Of items of 1 to 4 words the 80 % rule lets no word differ, so their mask is
+the whole item.  Hashes of the corpus that may occur in the benchmark are joined with the
 benchmark's; around every hit the words of both sides are compared along the
 diagonal, and a document is contaminated by an item where a window of 13 words
 (or the whole item, if shorter) agrees in at least 80 % of its places.
 
-Items of fewer than 5 words cannot be told from chance and match nothing.  Null and empty texts
-match nothing.  Equal items are searched once, under their smallest id
-(``n_items`` tells how many they are).  Repeated rows and null ids of documents
-are reported like others; other columns are not read.
+Null and empty texts, and texts of punctuation alone, match nothing.  Equal items are searched
+once, under their smallest id (``n_items`` tells how many they are).  Repeated rows and null ids of
+documents are reported like others; other columns are not read.  ``drop_contaminated`` goes by the
+text, so it removes contaminated rows without id as well and keeps a clean text whose id is repeated.
 
-Scale: the corpus is read once and is never shuffled.  A filter of fixed size over
-the benchmark's hashes lets through few windows; a benchmark so large that it
-fills the filter makes the join larger, not wrong.
+Scale: the corpus is read once and is never shuffled.  A filter over the benchmark's
+hashes, sized by their number (at most 2**MOST_BITS bits), lets through few windows; a
+benchmark that fills the largest filter makes the join larger, not wrong.  A document and
+an item meet in one row however often their hashes do.  Of an item of 1 to 4 words only
+the first place in a document goes on, so a frequent word costs one row a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,9 +43,13 @@ from folioloom.llm.text import Memo, raw_texts, slices
 #: Any window of WINDOW words with up to two substitutions holds one of these whole.
 MASKS = ("11101111", "11010010111", "1101110011")
 #: By length of a shorter item: whatever words the SHARE lets differ, one of these lies over it at some place that avoids them.
-SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("10111", "11101"), 7: ("11011",), 8: ("10111",), 9: ("10111",), 10: ("1111", "10111"), 11: ("10111",), 12: ("10111",)}
-WINDOW, SHARE, LEAST_WORDS = 13, 0.8, 5
-FILTER_BITS = (20, 22)
+SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",),
+    5: ("1111", "10111", "11011", "11101"), 6: ("10111", "11101"), 7: ("11011",), 8: ("10111",), 9: ("10111",),
+    10: ("1111", "10111"), 11: ("10111",), 12: ("10111",),
+}
+WINDOW, SHARE, EXACT_WORDS = 13, 0.8, 4
+FIRST_BITS, MOST_BITS = 20, 26
 _ENDS = ".,;:!?\"'()[]{}<>*_`~#$%&|/\\-–—…«»“”‘’"
 
 
@@ -64,15 +72,15 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def _patterns(n_words: int) -> tuple[str, ...]:
     """The masks for an item of so many words."""
-    return MASKS if n_words >= WINDOW else SHORT_MASKS.get(n_words, ())
+    return MASKS if n_words >= WINDOW else SHORT_MASKS[n_words]
 
 
-def seed_hashes(h: np.ndarray, pattern: str) -> np.ndarray:
+def seed_hashes(h: np.ndarray, pattern: str, salt: str = "") -> np.ndarray:
     """The hash of the pattern's places at each start."""
     n = len(h) - len(pattern) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, xxhash.xxh64_intdigest(pattern), np.uint64)
+    out = np.full(n, xxhash.xxh64_intdigest(pattern + salt), np.uint64)
     for k, c in enumerate(pattern):
         if c == "1":
             out ^= h[k : k + n]
@@ -91,47 +99,84 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, space: Workspace) -
             words = [word_hashes(t).astype("<u8").tobytes() for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
 
-    hashed = source.mapInArrow(run, f"id {kind}, words binary").where(F.length("words") >= 8 * LEAST_WORDS)
+    hashed = source.mapInArrow(run, f"id {kind}, words binary").where(F.length("words") > 0)
     return space.table(hashed.groupBy("words").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items")), "items")
 
 
+def _own_seeds(h: np.ndarray) -> np.ndarray:
+    """All seed hashes of an item.  Those of whole short items are of a kind of their own."""
+    return np.unique(np.concatenate([seed_hashes(h, p, _WHOLE if len(h) <= EXACT_WORDS else "") for p in _patterns(len(h))]))
+
+
+_WHOLE = " whole"
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = np.frombuffer(words, "<u8")
-            for p in _patterns(len(h)):
-                s = seed_hashes(h, p)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([item] * len(s), batch.column(1).type), pa.array(np.arange(len(s), dtype=np.int32))], ["hash", "item_id", "item_pos"])
+            s = _own_seeds(np.frombuffer(words, "<u8"))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([item] * len(s), batch.column(1).type)], ["hash", "item_id"])
+
 
+@dataclass(frozen=True)
+class Filter:
+    """Two sets of marks over the hashes: a small one that stays in the processor's cache, then one sized by the hashes."""
 
-def _filters(seeds: DataFrame) -> tuple[np.ndarray, ...]:
-    """Two tables of marks, of fixed size, whatever the benchmark's."""
-    out = []
-    for k, bits in enumerate(FILTER_BITS):
-        slot = F.shiftrightunsigned("hash", 64 - bits) if k else F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
-        marks = np.zeros(1 << bits, bool)
-        marks[seeds.select(slot.alias("s")).distinct().toArrow().column(0).to_numpy().astype(np.int64)] = True
-        out.append(marks)
-    return tuple(out)
+    small: np.ndarray
+    bits: int
+    words: np.ndarray
+
+    def passed(self, s: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be in the set."""
+        i = np.nonzero(self.small[(s & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)])[0]
+        at = s[i] >> np.uint64(64 - self.bits)
+        return i[(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+
+
+def _marked(slots: DataFrame, bits: int) -> np.ndarray:
+    """A set of slots as 64-bit words; at most 2**(bits - 6) rows reach the driver."""
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def _hits(h: np.ndarray, patterns: list[str], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes that both filters let through, by position."""
+def _filter(seeds: DataFrame) -> Filter:
+    bits = min(MOST_BITS, max(FIRST_BITS, (16 * seeds.count()).bit_length()))
+    small = _marked(seeds.select(F.col("hash").bitwiseAND(F.lit((1 << FIRST_BITS) - 1)).alias("slot")), FIRST_BITS)
+    large = _marked(seeds.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot")), bits)
+    return Filter(np.unpackbits(small.view(np.uint8), bitorder="little").astype(bool), bits, large)
+
+
+def _hits(h: np.ndarray, patterns: list[str], known: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes that the filter lets through, by position."""
     at, found = [], []
     for p in patterns:
         s = seed_hashes(h, p)
-        i = np.nonzero(low[(s & np.uint64((1 << FILTER_BITS[0]) - 1)).astype(np.int64)])[0]
-        if len(i):
-            i = i[high[(s[i] >> np.uint64(64 - FILTER_BITS[1])).astype(np.int64)]]
-            at.append(i)
-            found.append(s[i])
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        i = known.passed(s)
+        at.append(i)
+        found.append(s[i])
     at, found = np.concatenate(at), np.concatenate(found)
     order = np.argsort(at, kind="stable")
     return at[order], found[order]
 
 
+def _stretches(h: np.ndarray, patterns: list[str], whole: list[str], known: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Start and words of each stretch of a text that may hold an item, and the hashes met in it."""
+    at, found = _hits(h, patterns, known)
+    if len(at):
+        reach = max(map(len, MASKS))
+        cuts = np.nonzero(np.diff(at) > 2 * WINDOW + reach)[0] + 1
+        for i, f in zip(np.split(at, cuts), np.split(found, cuts), strict=True):
+            start = max(0, int(i[0]) - WINDOW)
+            yield start, h[start : int(i[-1]) + reach + WINDOW], np.unique(f)
+    for p in whole:
+        s = seed_hashes(h, p, _WHOLE)
+        i = known.passed(s)
+        for k in i[np.unique(s[i], return_index=True)[1]].tolist():
+            yield k, h[k : k + len(p)], s[k : k + 1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, n_items, item_words, n_equal, n_compared, doc_pos.
 
@@ -141,49 +186,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     space = Workspace(spark, "decontaminate")
     items = _items(benchmark, item_col, item_text, space)
     item_kind = items.schema["item_id"].dataType.simpleString()
-    seeds = space.table(items.select("words", "item_id").mapInArrow(_seeds, f"hash bigint, item_id {item_kind}, item_pos int"), "seeds")
-    marks = spark.sparkContext.broadcast(_filters(seeds))
+    seeds = space.table(items.select("words", "item_id").mapInArrow(_seeds, f"hash bigint, item_id {item_kind}"), "seeds")
+    marks = spark.sparkContext.broadcast(_filter(seeds))
     short = {int(r.n) for r in items.select(F.expr("length(words) div 8").alias("n")).where(f"n < {WINDOW}").distinct().collect()}
-    patterns = sorted({p for n in short for p in _patterns(n)}) + list(MASKS)
+    whole = [SHORT_MASKS[n][0] for n in sorted(short) if n <= EXACT_WORDS]
+    patterns = sorted({p for n in short if n > EXACT_WORDS for p in _patterns(n)}) + list(MASKS)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     doc_kind = source.schema["id"].dataType.simpleString()
-    reach, around = max(map(len, MASKS)), WINDOW
+    shape = pa.schema([("run_id", pa.int64()), ("start", pa.int32()), ("doc_words", pa.binary()), ("hash", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        run_id = TaskContext.get().partitionId() << 40
-        low, high = marks.value
+        run_id, known = TaskContext.get().partitionId() << 40, marks.value
         for batch in slices(batches):
             rows, which = [], []
             for k, text in enumerate(raw_texts(batch.column(1))):
-                h = word_hashes(text)
-                at, found = _hits(h, patterns, low, high)
-                if not len(at):
-                    continue
-                cuts = np.nonzero(np.diff(at) > 2 * around + reach)[0] + 1
-                for i, f in zip(np.split(at, cuts), np.split(found, cuts), strict=True):
-                    start, stop = max(0, int(i[0]) - around), int(i[-1]) + reach + around
-                    rows.append({"run_id": run_id, "start": start, "doc_words": h[start:stop].astype("<u8").tobytes(), "pos": i.tolist(), "hash": f.view(np.int64).tolist()})
+                for start, words, hashes in _stretches(word_hashes(text), patterns, whole, known):
+                    rows.append({"run_id": run_id, "start": start, "doc_words": words.astype("<u8").tobytes(), "hash": hashes.view(np.int64).tolist()})
                     which.append(k)
                     run_id += 1
             _memo().trim()
             if rows:
-                out = pa.RecordBatch.from_pylist(rows, pa.schema([("run_id", pa.int64()), ("start", pa.int32()), ("doc_words", pa.binary()), ("pos", pa.list_(pa.int32())), ("hash", pa.list_(pa.int64()))]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *out.columns], ["id", *out.schema.names])
+                out = pa.RecordBatch.from_pylist(rows, shape)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *out.columns], ["id", *shape.names])
 
-    runs = space.table(source.mapInArrow(scan, f"id {doc_kind}, run_id bigint, start int, doc_words binary, pos array<int>, hash array<bigint>"), "runs")
-    hits = runs.select("run_id", F.explode(F.arrays_zip("pos", "hash")).alias("z")).select("run_id", "z.pos", "z.hash")
-    diagonals = hits.join(seeds, "hash").select("run_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    pairs = diagonals.join(runs.select("id", "run_id", "start", "doc_words"), "run_id").join(items, "item_id")
+    runs = space.table(source.mapInArrow(scan, f"id {doc_kind}, run_id bigint, start int, doc_words binary, hash array<bigint>"), "runs")
+    met = runs.select("run_id", F.explode("hash").alias("hash")).join(seeds, "hash").select("run_id", "item_id").distinct()
+    pairs = met.join(runs.select("id", "run_id", "start", "doc_words"), "run_id").join(items, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, equal, size, place = [], [], [], []
-            shifts, starts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shift", "start"))
-            left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_words", "words"))
-            for shift, start, a, b in zip(shifts, starts, left, right, strict=True):
-                best, w, at = compare(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), shift - start)
+            starts, left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "doc_words", "words"))
+            for start, a, b in zip(starts, left, right, strict=True):
+                best, w, at = best_window(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"))
                 good.append(best >= SHARE * w)
                 equal.append(best)
                 size.append(w)
@@ -198,6 +235,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.select(F.col("id").alias("doc_id"), "item_id", "m.n_items", "m.item_words", "m.n_equal", "m.n_compared", F.negative("m.back").alias("doc_pos"))
 
 
+def _shifts(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """By how much the item is moved along the document's words where a seed of both is equal, each shift once."""
+    out = [np.zeros(0, np.int64)]
+    for p in _patterns(len(item)):
+        there, here = seed_hashes(doc, p), seed_hashes(item, p)
+        order = np.argsort(here, kind="stable")
+        low, high = np.searchsorted(here[order], there, "left"), np.searchsorted(here[order], there, "right")
+        for k in range(int((high - low).max(initial=0))):  # once, but for repetitive items
+            i = np.nonzero(high - low > k)[0]
+            out.append(np.unique(i - order[low[i] + k]))
+    return np.unique(np.concatenate(out))
+
+
+def best_window(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+    """Over all shifts: equal words of the best window, its size, its start in ``doc``; the first of equally good ones."""
+    best = 0, min(WINDOW, len(item)), 0
+    for shift in _shifts(doc, item).tolist():
+        found = compare(doc, item, shift)
+        if found[0] > best[0] or found[0] == best[0] and found[2] < best[2]:
+            best = found
+    return best
+
+
 def compare(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
     """Best window of the item laid over the document's words from ``shift``: equal words, window size, its start in ``doc``."""
     w = min(WINDOW, len(item))
@@ -210,11 +270,13 @@ def compare(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     return int(sums[k]), w, first + k
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark passage, all columns as they came."""
     space = Workspace(docs.sparkSession, "decontaminated")
-    bad = space.table(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "bad")
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
+    digest = F.md5(F.col(text_col).cast("string").cast("binary"))
+    bad = contaminated(docs.select(digest.alias("digest"), text_col), benchmark, "digest", text_col)
+    bad = space.table(bad.select(F.col("doc_id").alias("__digest")).distinct(), "bad")
+    return docs.join(bad, F.md5(docs[text_col].cast("string").cast("binary")) == bad["__digest"], "left_anti")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
