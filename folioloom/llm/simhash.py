@@ -13,10 +13,14 @@ Links: fingerprints that differ in at most two bits.
   on at least 3 blocks, so both fall into one cell of at least one of the 10
   three-block grids: an equi-join on cells finds every pair in range.
 * Candidates from a cell must pass the Manhattan bound, then the exact distance.
-* A crowded cell (over ``cell_most`` fingerprints: a group of near copies) is
-  not paired.  Its members go a linear way, exact as well: two fingerprints are
-  at most two bits apart just if both are within one bit of a common value, so
-  each is linked to those of its 65 values that another member also has.
+* A crowded cell (over ``cell_most`` fingerprints) is divided by the same rule: its
+  two free blocks lie in 5 smaller ones, of which a pair in range agrees on at
+  least 3, so the finer grid fixes 26 or more of the 32 coordinates.
+* Where even a finer cell is crowded, its members are near copies that the embedding
+  hardly tells apart.  There the exact check is made through common values: two
+  fingerprints are at most two bits apart just if both are within one bit of a
+  value, so each is linked to those of its 65 values that another member has,
+  which costs 65 rows a member, not a row a pair.
 
 Copies share a fingerprint and cost one row after a partial aggregation, so the
 size of a group of copies does not matter.  Null ids are kept, but never name a
@@ -26,7 +30,7 @@ With ``jaccard`` (the pipeline's stage), documents are linked as well if the set
 of their 5-word shingles are at least so similar.  Such pairs differ in about ten
 bits, beyond any grid, so candidates come from MinHash bands: equal in one of
 BANDS bands of ROWS minima (at similarity 0.8, all but 1 in 13,000 are), then the
-exact similarity.  In a cell of over CELL_MOST sets not every pair is a candidate:
+exact similarity.  In a cell of over NEAR_CELL_MOST sets not every pair is a candidate:
 members meet the cell's most central member and one picked by hash, and all
 pairs of each cell that two bands make together if that one is small.
 """
@@ -46,8 +50,9 @@ from folioloom.llm.components import connected_components
 from folioloom.llm.store import Workspace
 from folioloom.llm.text import raw_texts, slices
 
-SHINGLE, MAX_BITS, CELL_MOST = 3, 2, 16
+SHINGLE, MAX_BITS, CELL_MOST = 3, 2, 64
 _BLOCKS = (7, 7, 6, 6, 6)  # segments in each block
+NEAR_CELL_MOST = 16
 NEAR_SHINGLE, BANDS, ROWS, SIEVE_BITS = 5, 24, 5, 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,13 +104,21 @@ def embed(fp: Column) -> Column:
     return low.bitwiseOR(high)
 
 
-def _grids() -> list[int]:
-    """The masks of the three-block grids over the embedding."""
-    masks, at = [], 0
-    for n in _BLOCKS:
-        masks.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [_signed(sum(c)) for c in combinations(masks, len(_BLOCKS) - MAX_BITS)]
+def _masks(sizes: list[int], places: list[int]) -> list[int]:
+    """Blocks of so many of the segments at ``places``, as masks over the embedding."""
+    left = iter(places)
+    return [sum(3 << 2 * next(left) for _ in range(n)) for n in sizes]
+
+
+def _grids() -> list[tuple[int, list[int]]]:
+    """For each grid the mask of its three blocks and the masks of the finer grids within it."""
+    out, n, blocks = [], len(_BLOCKS), _masks(list(_BLOCKS), list(range(32)))
+    for fixed in combinations(range(n), n - MAX_BITS):
+        mask = sum(blocks[k] for k in fixed)
+        free = [k for k in range(32) if not mask >> 2 * k & 1]
+        parts = _masks([len(free) // n + (k < len(free) % n) for k in range(n)], free)
+        out.append((_signed(mask), [_signed(mask + sum(c)) for c in combinations(parts, n - MAX_BITS)]))
+    return out
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +141,32 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"])
 
 
+def _divided(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame]:
+    """``cells``: fp, mask, cell.  Close pairs of the cells that are not crowded, and the members fp, mask of those that are."""
+    shared = space.table(cells.groupBy("mask", "cell").agg(F.count("*").alias("n")).where("n > 1"), name)
+    members = cells.join(shared, ["mask", "cell"])
+    small = members.where(F.col("n") <= cell_most).groupBy("mask", "cell").agg(F.collect_list("fp").alias("fps"))
+    return small.select("fps").mapInArrow(_close_pairs, "a bigint, b bigint"), members.where(F.col("n") > cell_most).select("fp", "mask")
+
+
+def _in_cells(rows: DataFrame, masks: Column) -> DataFrame:
+    """fp, mask, cell of each row's masks, each once."""
+    return rows.select("fp", F.explode(masks).alias("mask")).distinct().select("fp", "mask", embed(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
+
+
 def links(fps: DataFrame, space: Workspace, cell_most: int = CELL_MOST) -> DataFrame:
-    """``fps``: distinct fp.  Links a, b that hold every pair within MAX_BITS together (crowds through common values)."""
-    grids = F.array(*[F.struct(F.lit(k).alias("grid"), embed(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_grids())])
-    cells = fps.select("fp", F.explode(grids).alias("g")).select("fp", "g.grid", "g.cell")
-    shared = space.table(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    members = cells.join(shared, ["grid", "cell"])
-    small = members.where(F.col("n") <= cell_most).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps"))
-    pairs = small.select("fps").mapInArrow(_close_pairs, "a bigint, b bigint")
-    crowd = members.where(F.col("n") > cell_most).select("fp").distinct()
+    """``fps``: distinct fp.  Links a, b that hold every pair within MAX_BITS together (pairs that the finest cells crowd through common values)."""
+    grids = _grids()
+    cells = fps.select("fp", F.explode(F.array(*[F.lit(m) for m, _ in grids])).alias("mask"))
+    cells = cells.select("fp", "mask", embed(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"))
+    pairs, crowded = _divided(cells, space, "cells", cell_most)
+    finer = F.element_at(F.create_map(*[x for m, inner in grids for x in (F.lit(m), F.array(*map(F.lit, inner)))]), F.col("mask"))
+    close, crowd = _divided(_in_cells(crowded, finer), space, "finer", cell_most)
     values = F.concat(F.array("fp"), F.transform(F.array(*[F.lit(_signed(1 << k)) for k in range(64)]), lambda bit: F.col("fp").bitwiseXOR(bit)))
     # at most 65 values lie within one bit of any value, so these lists are short
-    common = crowd.select("fp", F.explode(values).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    common = crowd.select("fp").distinct().select("fp", F.explode(values).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     stars = common.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(close).unionByName(stars).distinct()
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -221,7 +246,7 @@ def _sieved(rows: DataFrame, needed: DataFrame) -> DataFrame:
     return rows.select("sig", "shingles").mapInArrow(run, "sig bigint, shingles array<bigint>")
 
 
-def near_links(marked: DataFrame, space: Workspace, jaccard: float, cell_most: int = CELL_MOST) -> DataFrame:
+def near_links(marked: DataFrame, space: Workspace, jaccard: float, cell_most: int = NEAR_CELL_MOST) -> DataFrame:
     """``marked``: as of ``marks``.  Links a, b of the fingerprints of sets that are at least ``jaccard`` similar."""
     rows = marked.where("sig is not null")
     kinds = space.table(rows.select("sig", "fp").distinct(), "kinds")
@@ -242,7 +267,7 @@ def near_links(marked: DataFrame, space: Workspace, jaccard: float, cell_most: i
     return same.unionByName(close.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_most: int = CELL_MOST, jaccard: float | None = None) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_most: int = CELL_MOST, jaccard: float | None = None, near_cell_most: int = NEAR_CELL_MOST) -> DataFrame:
     """id, fp, component_id (smallest id that links reach) of every document."""
     space = Workspace(docs.sparkSession, "simhash")
     marked = None if jaccard is None else space.table(marks(docs, id_col, text_col), "marks")
@@ -250,7 +275,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = fps.groupBy("fp").agg(F.min("id").alias("first"))
     found = links(nodes.select("fp"), space, cell_most)
     if marked is not None:
-        found = found.unionByName(near_links(marked, space, jaccard, cell_most)).distinct()
+        found = found.unionByName(near_links(marked, space, jaccard, near_cell_most)).distinct()
     found = space.table(found, "links")
     if marked is not None:
         space.drop("marks", "sets")
@@ -262,21 +287,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns as they came.
+    """One row of each component; all columns as they came.
 
-    Rows whose id is null have no name to be removed by and stay.  Where an id
-    occurs in several rows, these are one document: one row of it stays.
+    It is the row with the smallest id, null ids last; of several rows with that id the
+    one with the smallest hash of all its columns; of rows equal in all columns any.
     """
-    groups = components(docs, id_col, text_col, jaccard=jaccard)
     space = Workspace(docs.sparkSession, "simhash-keep")
-    ids = groups.groupBy(F.col(id_col).alias("__id")).agg(F.min("component_id").alias("__top"), F.count("*").alias("__n"))
-    ids = space.table(ids.where("__id is not null and (__top <> __id or __n > 1)"), "ids")
-    gone = ids.where("__top <> __id").select("__id")
-    left = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    if ids.where("__top = __id").limit(1).count():
-        null, named = left.where(F.col(id_col).isNull()), left.where(F.col(id_col).isNotNull())
-        left = named.dropDuplicates([id_col]).unionByName(null)
-    return left
+    at, text = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # positions, as names may clash
+    ident = F.struct(F.col(f"c{at}").isNull().alias("none"), F.col(f"c{at}").alias("id"), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in rows.columns]).alias("row"))
+    keyed = rows.withColumn("key", ident)
+    groups = components(keyed.select("key", f"c{text}"), "key", f"c{text}", jaccard=jaccard)
+    names = groups.groupBy("key").agg(F.min("component_id").alias("top"), F.count("*").alias("n"))
+    names = space.table(names.where("key <> top or n > 1"), "keys")
+    gone = names.select(F.col("key").alias("other"))
+    single = keyed.join(gone, keyed["key"] == gone["other"], "left_anti")
+    several = names.where("key = top").select(F.col("key").alias("other"))  # equal rows that name a component
+    one = keyed.join(several, keyed["key"] == several["other"], "left_semi").dropDuplicates(["key"])
+    return single.unionByName(one).drop("key").toDF(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -486,23 +486,37 @@ def brute_components(table):
     return Counter((d, f"{fp:016x}", low.get(find(i))) for i, (d, fp) in enumerate(table))
 
 
-def test_simhash_documents(docs, empty):
+def test_simhash_documents(spark, docs, empty):
     got = Counter((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.components(docs).collect())
     assert got == brute_components([(r[0], brute_fingerprint(r[1])) for r in rows()])
     kept = simhash.keep_one(docs).collect()
     tops = {k[2] for k in got if k[0] is not None}
-    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter(tops)
-    assert sum(r.doc_id is None for r in kept) == 2
+    assert Counter(r.doc_id for r in kept) == Counter(tops)
+    rows_of = {(r[0], r[1]): r for r in rows()}
+    assert all(tuple(r) == rows_of[r.doc_id, r.text] for r in kept)
+    clash = [(5, "one text of its own"), (5, "and quite another one"), (5, "and quite another one"), (6, "one text of its own"), (None, "nobody's text"), (None, "nobody's text"), (None, "one text of its own")]
+    kept = simhash.keep_one(spark.createDataFrame(clash, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter({(5, clash[0][1]): 1, (5, clash[1][1]): 1, (None, "nobody's text"): 1})
     assert simhash.components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("cell_most", [2, 16])
+def test_finer_grids_hold_every_close_pair():
+    grids = simhash._grids()
+    assert len(grids) == 10 and {len(inner) for _, inner in grids} == {10}
+    for mask, inner in grids:
+        free = [k for k in range(32) if not mask >> 2 * k & 1]
+        for a, b in combinations(free, 2):  # wherever two coordinates differ, a finer grid ignores both
+            assert any(not m >> 2 * a & 1 and not m >> 2 * b & 1 for m in inner)
+        assert all(m & mask == mask and (m & 0x5555555555555555).bit_count() >= 26 for m in inner)
+
+
+@pytest.mark.parametrize("cell_most", [2, 16, 64])
 def test_simhash_links_near_fingerprints_and_crowds(spark, cell_most):
     rng = random.Random(7)
     table = []
     for group in range(12):
         base = rng.getrandbits(64)
-        for _ in range(30 if group < 3 else 4):
+        for _ in range(90 if group < 3 else 4):
             table.append(base)
             base ^= sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3))))
     table = list(dict.fromkeys(table))
@@ -540,7 +554,7 @@ def test_near_copies_share_a_component(spark, cell_most):
                 if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     top[a] = top[b] = min(top[a], top[b])
     docs = spark.createDataFrame(table, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.components(docs, cell_most=cell_most, jaccard=0.8).collect()} == top
+    assert {r.doc_id: r.component_id for r in simhash.components(docs, cell_most=cell_most, jaccard=0.8, near_cell_most=cell_most).collect()} == top
     assert {r.doc_id for r in simhash.keep_one(docs, jaccard=0.8).collect()} == set(top.values())
 
 
