@@ -94,3 +94,14 @@ def map_file(uri: str):
             return f.read_buffer()
     with fs.open_input_file(path) as f:
         return f.read_buffer()
+
+
+def map_range(uri: str, start: int, stop: int):
+    """Bytes start to stop of a file: memory-mapped where the file system is local, else read."""
+    import pyarrow as pa
+
+    fs, path = open_fs(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return map_file(uri).slice(start, stop - start)
+    with fs.open_input_file(path) as f:
+        return pa.py_buffer(f.read_at(stop - start, start))

@@ -12,11 +12,14 @@ Reading.  Files are read in byte ranges of ``RANGE_BYTES``.  Each task looks for
 magic in its range and emits, for every place where a record could start, the
 place where its successor would.  Pointer jumping from the start of the file keeps
 the reachable places, so the magic inside a payload starts no record.  A file's
-chain is bounded by FILE_BYTES; only offsets take part in it.
+chain is bounded by FILE_BYTES (or one record, if longer); only offsets take part in it.
+A chain that does not end at the end of its file with the number of records that the
+list of files tells is an error.  Headers are read to their end, however long.
 
 Null html is an empty payload, null url leaves the target out, null page_id is
-written as ``null`` and read back as null.  Repeated ids each get a record.  An
-empty table gives no file and no row.  Other columns are not read.
+written as ``null`` and read back as null.  As nothing can tell such pages apart, each is a
+``response``, equal payloads or not.  Repeated ids each get a record; of equal payloads with
+the smallest id each is a response.  An empty table gives no file and no row.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm.store import Workspace, make_dir, map_file, open_fs
+from folioloom.llm.store import Workspace, make_dir, map_range, open_fs
 from folioloom.llm.text import slices
 
 REVISIT_BYTES, FILE_BYTES, RANGE_BYTES = 100, 64 << 20, 8 << 20
 MAGIC = b"WARC/1.1\r\n"
-_HEAD_MOST = 64 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,7 +53,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
     body = _HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
     lines = ["WARC-Type: " + ("revisit" if revisit else "response"), "WARC-Record-ID: " + _name(page_id)]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)[:8192])
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if revisit:
         lines += [f"WARC-Profile: {_PROFILE}", "WARC-Refers-To: " + _name(refers_to)]
@@ -78,7 +80,7 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
         for batch in slices(batches, "html"):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, url, html, digest, first, grouped = row
-                data = record(page, url, html.encode(), digest, first, grouped and page != first)
+                data = record(page, url, html.encode(), digest, first, grouped and page is not None and page != first)
                 if out is not None and size + len(data) > file_bytes:
                     out.close()
                     done.append((path, n, size))
@@ -98,26 +100,55 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     return space.table(laid.mapInArrow(run, _FILE), "files")
 
 
-_HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*(.*?)\r\n")
+_FIELD = rb"[A-Za-z-]+:[^\r\n]*\r\n"
+_HEAD = re.compile(rb"WARC/1\.1\r\n((?:" + _FIELD + rb")+)\r\n")
+#: What a header looks like that the data at hand cut off.
+_HEAD_CUT = re.compile(rb"WARC/1\.1\r\n(?:" + _FIELD + rb")*(?:[A-Za-z-]+(?::[^\r\n]*)?)?\r?\Z")
+_HEADER = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")
+_HTTP_HEAD = re.compile(rb"HTTP/1\.[01] [^\r\n]*\r\n((?:[^\r\n]+\r\n)*)\r\n")
+
+
+class CutOff(Exception):
+    """The record may go on where the data at hand end."""
 
 
 def parse_record(data, at: int) -> dict | None:
     """The record whose magic is at ``at``, with the offset of its successor; None if no record can start there."""
-    head = bytes(data[at : at + _HEAD_MOST])
-    end = head.find(b"\r\n\r\n")
-    if not head.startswith(MAGIC) or end < 0:
+    m = _HEAD.match(data, at)
+    if m is None:
+        if _HEAD_CUT.match(data, at):
+            raise CutOff
         return None
-    fields = {k.lower(): v for k, v in _HEADER.findall(head[len(MAGIC) : end + 2])}
+    fields = {k.lower(): v for k, v in _HEADER.findall(m[1])}
     try:
         length = int(fields[b"content-length"])
     except (KeyError, ValueError):
         return None
-    body = at + end + 4
-    if length < 0 or body + length + 4 > len(data) or bytes(data[body + length : body + length + 4]) != b"\r\n\r\n":
+    body = m.end()
+    if length < 0:
+        return None
+    if body + length + 4 > len(data):
+        raise CutOff
+    if bytes(data[body + length : body + length + 4]) != b"\r\n\r\n":
         return None
     return {"at": at, "next": body + length + 4, "fields": fields, "body": body, "length": length}
 
 
+def _told(data, r: dict) -> tuple[int, str, str, bool]:
+    """Payload bytes, digest, type of a record, and whether the digest that it tells is right."""
+    f = r["fields"]
+    kind = f.get(b"warc-type", b"").decode("latin-1")
+    told = f.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha256:")
+    end = r["body"] + r["length"]
+    head = _HTTP_HEAD.match(data, r["body"], end)
+    if kind == "revisit":
+        m = head and re.search(rb"Content-Length: (\d+)", head[1])
+        return int(m[1]) if m else 0, told, kind, True
+    payload = data[head.end() if head else r["body"] : end]
+    digest = hashlib.sha256(payload).hexdigest()
+    return len(payload), digest, kind, digest == told
+
+
 def _page(name: bytes | None) -> int | None:
     m = re.fullmatch(rb"<urn:page:(-?\d+)>", name or b"")
     return int(m[1]) if m else None
@@ -134,27 +165,24 @@ def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(row: dict) -> Iterator[tuple]:
-        data = memoryview(map_file(row["path"]))
-        stop = min(row["from"] + range_bytes, len(data))
-        window = bytes(data[row["from"] : min(stop + len(MAGIC) - 1, len(data))])
-        k = window.find(MAGIC)
-        while k >= 0:
-            r = parse_record(data, row["from"] + k)
-            k = window.find(MAGIC, k + 1)
-            if r is None:
-                continue
-            f, body = r["fields"], data[r["body"] : r["body"] + r["length"]]
-            head = bytes(body[:_HEAD_MOST])
-            split = head.find(b"\r\n\r\n") + 4
-            kind = f.get(b"warc-type", b"").decode("latin-1")
-            told = f.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha256:")
-            payload = body[split:] if split >= 4 else body
-            if kind == "revisit":
-                m = re.search(rb"Content-Length: (\d+)", head)
-                n_bytes, digest = int(m[1]) if m else 0, told
-            else:
-                n_bytes, digest = len(payload), hashlib.sha256(payload).hexdigest()
-            yield (row["path"], row["size"], r["at"], r["next"], _page(f.get(b"warc-record-id")), n_bytes, digest, kind, _page(f.get(b"warc-refers-to")), digest == told)
+        low, stop = row["from"], min(row["from"] + range_bytes, row["size"])
+        high = min(row["size"], stop + range_bytes)
+        data = memoryview(map_range(row["path"], low, high))
+        places = [m.start() for m in re.finditer(re.escape(MAGIC), data[: stop + len(MAGIC) - 1 - low])]
+        for k in places:
+            while True:
+                try:
+                    r = parse_record(data, k)
+                    break
+                except CutOff:
+                    if high == row["size"]:
+                        r = None
+                        break
+                    high = min(row["size"], low + 2 * (high - low))
+                    data = memoryview(map_range(row["path"], low, high))
+            if r is not None:
+                n_bytes, digest, kind, intact = _told(data, r)
+                yield (row["path"], row["size"], low + k, low + r["next"], _page(r["fields"].get(b"warc-record-id")), n_bytes, digest, kind, _page(r["fields"].get(b"warc-refers-to")), intact)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in _NAMES[1:6]), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
@@ -193,7 +221,12 @@ def read_warc(files: DataFrame) -> DataFrame:
     space = Workspace(files.sparkSession, "warc-read")
     found = space.table(candidates(files), "candidates")
     chain = found.select("path", "at", "next").groupBy("path").applyInPandas(_chain, "path string, at bigint")
-    return found.join(space.table(chain, "chain"), ["path", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "path", "at")
+    records = space.table(found.join(chain, ["path", "at"]), "records")
+    ends = records.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"), F.max("next").alias("end"))
+    broken = files.join(ends, files["path"] == ends["p"], "left").where(~(F.col("n_bytes").eqNullSafe(F.col("end")) & F.col("n_records").eqNullSafe(F.col("n")))).select("path").limit(5).collect()
+    if broken:
+        raise ValueError(f"archives whose chain of records does not reach their end: {[r.path for r in broken]}")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact", "path", "at")
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
