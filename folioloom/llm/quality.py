@@ -38,7 +38,7 @@ _MEMO = 150_000
 
 def _shape(word: str) -> str:
     out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return re.sub(r"(.)\1+", r"\1", out)[:12]
+    return re.sub(r"(.)\1+", r"\1", out)
 
 
 def _buckets(word: bytes) -> int:
