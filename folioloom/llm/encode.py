@@ -57,6 +57,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.plain = Memo(self._plain, memo)  # words of plain texts, as they stand
         self.spaced = Memo(lambda w: self._plain(" " + w, self.spaced), memo)  # byte-level: words after a space
+        size = self.dtype.itemsize
+        self.plain_size = Memo(lambda w: len(self._plain(w)) // size, memo // 2)  # the same, lengths only
+        self.spaced_size = Memo(lambda w: len(self._plain(" " + w, self.spaced)) // size, memo // 2)
         self.other = Memo(lambda x: self._pack(self.tok.encode(x, add_special_tokens=False).ids), memo // 10)
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -81,33 +84,39 @@ class Encoder:
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of each piece, in order."""
+        if self._is_plain(text):
+            return map(self.plain.__getitem__, text.lower().split()) if self.words else self._lines(text, self.plain, self.spaced)
         if self.words:
-            if not _NOT_PLAIN.search(text):
-                return map(self.plain.__getitem__, text.lower().split())
             return map(self.other.__getitem__, filter(None, _SPACES.split(text)))
-        if not _NOT_PLAIN.search(text) and not _WIDE.search(text):
-            return self._lines(text)
         first, *rest = _BYTE_BOUNDARY.split(text)
         return map(self.other.__getitem__, [first, *[" " + x for x in rest]])
 
-    def _lines(self, text: str) -> Iterator[bytes]:
-        spaced = self.spaced.__getitem__
+    def _is_plain(self, text: str) -> bool:
+        return not _NOT_PLAIN.search(text) and (self.words or not _WIDE.search(text))
+
+    @staticmethod
+    def _lines(text: str, plain: Memo, spaced: Memo) -> Iterator:
+        """What the memos know of each piece of a plain text."""
         for k, line in enumerate(text.split("\n")):
             if k:
-                yield self.plain["\n"]
+                yield plain["\n"]
             first, *rest = line.split(" ")
-            yield self.plain[first]
-            yield from map(spaced, rest)
+            yield plain[first]
+            yield from map(spaced.__getitem__, rest)
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned integers of ``dtype``."""
         return b"".join(self.pieces(text)) if text else b""
 
     def count(self, text: str) -> int:
-        return sum(map(len, self.pieces(text))) // self.dtype.itemsize if text else 0
+        if not text:
+            return 0
+        if not self._is_plain(text):
+            return sum(map(len, self.pieces(text))) // self.dtype.itemsize
+        return sum(map(self.plain_size.__getitem__, text.lower().split()) if self.words else self._lines(text, self.plain_size, self.spaced_size))
 
     def trim(self) -> None:
-        for memo in (self.plain, self.spaced, self.other):
+        for memo in (self.plain, self.spaced, self.plain_size, self.spaced_size, self.other):
             memo.trim()
 
 
