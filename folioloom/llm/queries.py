@@ -17,8 +17,9 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
+    "rule_ablation": rules.rule_ablation,
 }
 
-SQL = {"op3_warc": warc.OP3_SQL, "op6_preference": chat.OP6_SQL}
+SQL = {"op2_rules": rules.OP2_SQL, "rule_ablation": rules.ABLATION_SQL, "op3_warc": warc.OP3_SQL, "op6_preference": chat.OP6_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

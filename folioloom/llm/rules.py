@@ -9,6 +9,10 @@ Words are runs of characters other than space and 0x09-0x0D; lines end at
 ``\\n``.  Null text counts as no words.  Rows are judged one by one: repeated
 rows get equal verdicts, an empty table gives an empty ledger, and other
 columns are not read (``filter_documents`` passes all of them through as they are).
+
+``ledger`` keeps the books of a table by id; ``with_ledger`` keeps them beside the
+document's own columns, in one pass and without a shuffle, for filtering.  ``filter_documents``
+stores the latter and filters by its failure bits alone.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.llm.store import Workspace
 from folioloom.llm.text import raw_texts, slices
 
 MEASURES = (
@@ -174,23 +179,24 @@ def ablation(book: DataFrame, policy: str = "standard-v1") -> DataFrame:
     )
 
 
-def filter_documents(docs: DataFrame, policy: str = "standard-v1", text_col: str = "text") -> DataFrame:
-    """The documents that the policy keeps, all columns as they came; no shuffle."""
-    wanted = mask(POLICIES[policy])
+def with_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row with its columns by position (c0, c1, ...; names may clash), the measures and ``failed``."""
     at = docs.columns.index(text_col)
-    names = [f"c{k}" for k in range(len(docs.columns))]  # positions, as names may clash
-    conditions = [(r.bit, compile(r.fails, r.name, "eval")) for r in RULES if wanted >> r.bit & 1]
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, names[at]):
-            keep = []
-            for t in raw_texts(batch.column(at).cast(pa.string())):
-                known = dict(zip(MEASURES, measure(t), strict=True))
-                keep.append(not any(eval(code, {}, known) for _, code in conditions))
-            yield batch.filter(pa.array(keep))
+        for batch in slices(batches, f"c{at}"):
+            table = np.array([measure(t) for t in raw_texts(batch.column(at).cast(pa.string()))], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(table[:, k]) for k in range(len(MEASURES)))], [*batch.schema.names, *MEASURES])
+
+    return rows.mapInArrow(run, f"{kept}, " + ", ".join(f"{m} bigint" for m in MEASURES)).withColumn("failed", failed_bits())
 
-    positional = docs.toDF(*names)
-    return positional.mapInArrow(run, positional.schema).toDF(*docs.columns)
+
+def filter_documents(docs: DataFrame, policy: str = "standard-v1", text_col: str = "text") -> DataFrame:
+    """The documents that the policy keeps, all columns as they came; by the stored ledger, no shuffle."""
+    book = Workspace(docs.sparkSession, "ledger").table(with_ledger(docs, text_col), "book")
+    return book.where(passes(policy)).select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op2_rules(spark, sf_dir: str) -> DataFrame:
@@ -200,3 +206,45 @@ def op2_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes("base-v1")).alias("base_failed"), passes("standard-v1").alias("kept"), F.col("failed").alias("failed_mask"),
     )
+
+
+def rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of standard-v1 does to ``documents``, by bitwise aggregation over the ledger's masks."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_BOOK_SQL = r"""
+with texts as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+words as (
+  select r, unnest(ws) as w, unnest(range(len(ws))) as i
+  from (select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from texts)),
+following as (select *, lead(w, 1) over o as w1, lead(w, 2) over o as w2 from words window o as (partition by r order by i)),
+windows as (select *, w2 is not null and count(*) over (partition by r, w, w1, w2) > 1 as again from following),
+covered as (select *, again or coalesce(lag(again, 1) over o, false) or coalesce(lag(again, 2) over o, false) as hit from windows window o as (partition by r order by i)),
+by_word as (
+  select r, count(*) as n_words, sum(length(w)) as word_chars, count_if(hit) as n_repeat_words, count_if(w1 = w) as n_same_next, count_if(w = '|') as n_bar_words,
+         count_if(regexp_matches(w, '[A-Z]') and not regexp_matches(w, '[a-z]') and octet_length(encode(w)) > 1) as n_upper_words,
+         count_if(regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]')) as n_alpha_words, count_if(length(w) > 50) as n_long_words
+  from covered group by r),
+by_line as (
+  select r, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls, doc_id from texts),
+measured as (
+  select doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+         coalesce(n_repeat_words, 0) as n_repeat_words, len(ls) as n_lines, coalesce(n_upper_words, 0) as n_upper_words, coalesce(n_same_next, 0) as n_same_next,
+         coalesce(n_bar_words, 0) as n_bar_words, coalesce(n_alpha_words, 0) as n_alpha_words, coalesce(n_long_words, 0) as n_long_words
+  from by_line left join by_word using (r)),
+book as (
+  select *, cast(""" + " + ".join(f"case when {r.fails} then {1 << r.bit} else 0 end" for r in RULES) + r""" as bigint) as failed from measured)
+"""
+
+OP2_SQL = _BOOK_SQL + f"""
+select doc_id, n_words, word_chars, cast(n_symbols as bigint) as n_symbols, n_dup_lines, n_repeat_words,
+       failed & {mask(POLICIES["base-v1"])} <> 0 as base_failed, failed & {mask(POLICIES["standard-v1"])} = 0 as kept, failed as failed_mask from book
+"""
+
+ABLATION_SQL = _BOOK_SQL + f"""
+, rules as (select * from (values {", ".join(f"('{n}', {1 << _BIT[n]})" for n in POLICIES["standard-v1"])}) t(rule, bit))
+select rule, count_if(failed & bit <> 0) as n_failed, count_if(failed = bit) as n_only, count_if(failed & ~bit = 0) as n_kept_without
+from (select failed & {mask(POLICIES["standard-v1"])} as failed from book) cross join rules group by rule
+"""
