@@ -53,7 +53,7 @@ from folioloom.llm.text import raw_texts, slices
 SHINGLE, MAX_BITS, CELL_MOST = 3, 2, 64
 _BLOCKS = (7, 7, 6, 6, 6)  # segments in each block
 NEAR_CELL_MOST = 16
-NEAR_SHINGLE, BANDS, ROWS, SIEVE_BITS = 5, 24, 5, 24
+NEAR_SHINGLE, BANDS, ROWS, SIEVE_BITS = 5, 24, 5, 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,9 +200,18 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _tag(text: str) -> Column:
+    """What names a text in filters."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _signature(shingles: np.ndarray) -> int | None:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes())) if len(shingles) else None
+
+
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, and of texts with words: sig (of the shingle set), bands, shingles."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, tag, fp, and of texts with words: sig (of the shingle set), n (its size), bands."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,61 +219,93 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             texts = raw_texts(batch.column(1))
             sets = [shingle_set(t) for t in texts]
             fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            sigs = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else None for s in sets], pa.int64())
+            sigs, sizes = pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64())
             bands = pa.array([band_keys(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, sigs, bands, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "fp", "sig", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, sigs, sizes, bands], ["id", "tag", "fp", "sig", "n", "bands"])
+
+    return source.mapInArrow(run, f"id {kind}, tag bigint, fp bigint, sig bigint, n bigint, bands array<bigint>")
 
-    return source.mapInArrow(run, f"id {kind}, fp bigint, sig bigint, bands array<bigint>, shingles array<bigint>")
 
+def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``cells``: sig, key.  Of every cell the pairs of a member and its pivots, a, b, pivot; all pairs a, b, pivot of the cells that are not crowded; the sigs of the others."""
+    shared = space.table(cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-shared")
+    members = space.table(cells.join(shared, "key"), f"{name}-members")
+    weight = members.groupBy("sig").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight, "sig").groupBy("key").agg(F.max_by("sig", F.struct("weight", "sig")).alias("central"), F.min_by("sig", F.xxhash64("sig", "key")).alias("picked"))
+    crowded = F.col("size") > cell_most
+    stars = members.join(pivots, "key").select("sig", F.explode(F.when(crowded, F.array("central", "picked")).otherwise(F.array("central"))).alias("pivot")).where("sig <> pivot")
+    small = members.where(~crowded).join(pivots.select("key", "central"), "key").groupBy("key", "central").agg(F.collect_list("sig").alias("sigs"))
+    pairs = small.select("central", "sigs", F.explode("sigs").alias("a")).select("central", "a", F.explode("sigs").alias("b")).where("a < b and a <> central and b <> central")
+    return stars.select(*_in_order("sig", "pivot")).distinct(), pairs.select("a", "b", F.col("central").alias("pivot")), members.where(crowded).select("sig").distinct()
 
-def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame]:
-    """``cells``: sig, band, key.  Candidates a, b, and the sigs of crowded cells."""
-    shared = space.table(cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-shared")
-    members = space.table(cells.join(shared, ["band", "key"]), f"{name}-members")
-    small = members.where(F.col("n") <= cell_most).groupBy("band", "key").agg(F.collect_list("sig").alias("sigs"))
-    pairs = small.select("sigs", F.explode("sigs").alias("a")).select("a", F.explode("sigs").alias("b")).where("a < b")
-    crowd = members.where(F.col("n") > cell_most)
-    weight = crowd.groupBy("sig").agg(F.sum("n").alias("weight"))
-    pivots = crowd.join(weight, "sig").groupBy("band", "key").agg(F.max_by("sig", F.struct("weight", "sig")).alias("central"), F.min_by("sig", F.xxhash64("sig", "band")).alias("picked"))
-    stars = crowd.join(pivots, ["band", "key"]).select("sig", F.explode(F.array("central", "picked")).alias("pivot")).where("sig <> pivot")
-    return pairs.unionByName(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))).distinct(), weight.select("sig")
 
+def _in_order(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
-def _sieved(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """sig, shingles of the needed sigs (and of few others), so that not every set is shuffled; the filter has a fixed size."""
-    slot = F.col("sig").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    words = needed.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(sig & 63 as int)))").alias("bits")).toArrow()
-    sieve = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+
+def _needed_sets(docs: DataFrame, text_col: str, tags: DataFrame) -> DataFrame:
+    """sig and shingles of the texts with these tags (and of few others), so that not every set is shuffled."""
+    bits = min(SIEVE_BITS, max(20, (16 * tags.count()).bit_length()))
+    slot = F.shiftrightunsigned("tag", 64 - bits)
+    words = tags.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    sieve = np.zeros(1 << bits - 6, np.uint64)
     sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
-            yield batch.filter(pa.array((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+        for batch in slices(batches):
+            at = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            inside = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            sets = [s for s in map(shingle_set, raw_texts(batch.filter(pa.array(inside)).column(0))) if len(s)]
+            # a set goes on as the upper halves of its hashes, distinct ones
+            halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_signature, sets), pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["sig", "shingles"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    return rows.mapInArrow(run, "sig bigint, shingles array<int>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
 
-    return rows.select("sig", "shingles").mapInArrow(run, "sig bigint, shingles array<bigint>")
 
+def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs a, b whose sets are at least so similar."""
+    left, right = (sets.select(F.col("sig").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.select("a", "b", F.size("a_set").alias("a_n"), F.size("b_set").alias("b_n"), F.size(F.array_intersect("a_set", "b_set")).alias("n"))
+    return both.where(F.col("n") >= F.lit(jaccard) * (F.col("a_n") + F.col("b_n") - F.col("n"))).select("a", "b")
 
-def near_links(marked: DataFrame, space: Workspace, jaccard: float, cell_most: int = NEAR_CELL_MOST) -> DataFrame:
-    """``marked``: as of ``marks``.  Links a, b of the fingerprints of sets that are at least ``jaccard`` similar."""
+
+def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, text_col: str = "text", cell_most: int = NEAR_CELL_MOST) -> DataFrame:
+    """``marked``: as of ``marks`` for ``docs``.  Links a, b of fingerprints that connect all candidates at least ``jaccard`` similar.
+
+    Pairs with a cell's pivot are checked first; another pair of the cell only where not both are linked to the pivot.
+    """
     rows = marked.where("sig is not null")
     kinds = space.table(rows.select("sig", "fp").distinct(), "kinds")
-    names = space.table(kinds.groupBy("sig").agg(F.min("fp").alias("name")), "names")
+    names = kinds.groupBy("sig").agg(F.min("fp").alias("name"))
     same = kinds.join(names, "sig").where("fp <> name").select(F.col("name").alias("a"), F.col("fp").alias("b"))
-    nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands")), "nodes")
-    pairs, crowded = _meetings(nodes.select("sig", F.posexplode("bands").alias("band", "key")), space, "bands", cell_most)
-    crowded = space.table(crowded, "crowded")
-    two = F.transform("bands", lambda key, k: F.xxhash64(key, F.element_at("bands", (k + 1) % BANDS + 1)))
-    finer, _ = _meetings(nodes.join(crowded, "sig", "left_semi").select("sig", F.posexplode(two).alias("band", "key")), space, "finer", cell_most)
-    pairs = space.table(pairs.unionByName(finer).distinct(), "pairs")
-    sets = _sieved(rows, pairs.select(F.explode(F.array("a", "b")).alias("sig"))).groupBy("sig").agg(F.first("shingles").alias("shingles"))
-    sets = space.table(sets.join(names, "sig"), "sets")
-    left, right = (sets.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp"), F.col("shingles").alias(f"{c}_set"), F.size("shingles").alias(f"{c}_n")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n"))
-    equal = F.size(F.array_intersect("a_set", "b_set"))
-    close = both.select("a_fp", "b_fp", "a_n", "b_n", equal.alias("n")).where(F.col("n") >= F.lit(jaccard) * (F.col("a_n") + F.col("b_n") - F.col("n")))
-    return same.unionByName(close.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b"))
+    nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min("tag").alias("tag")), "nodes")
+    stars, pairs, crowded = _meetings(nodes.select("sig", F.explode(F.transform("bands", lambda key, k: F.xxhash64(key, k))).alias("key")), space, "bands", cell_most)
+    two = F.transform("bands", lambda key, k: F.xxhash64(key, F.element_at("bands", (k + 1) % BANDS + 1), k))
+    finer_stars, finer_pairs, _ = _meetings(nodes.join(space.table(crowded, "crowded"), "sig", "left_semi").select("sig", F.explode(two).alias("key")), space, "finer", cell_most)
+    sizes = nodes.select("sig", "n")
+    fits = F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n")
+
+    def of_like_size(some: DataFrame) -> DataFrame:
+        return some.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(fits).drop("a_n", "b_n")
+
+    stars = space.table(of_like_size(stars.unionByName(finer_stars).distinct()), "stars")
+    pairs = space.table(of_like_size(pairs.unionByName(finer_pairs).distinct()), "pairs")
+    needed = stars.unionByName(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    tags = space.table(nodes.join(needed, "sig", "left_semi").select("tag"), "tags")
+    sets = _needed_sets(docs, text_col, tags)
+    close = space.table(_similar(stars, sets, jaccard), "close")
+    linked = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    to_a, to_b = linked.select(F.col("a"), F.col("b").alias("pivot"), F.lit(True).alias("a_linked")), linked.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.lit(True).alias("b_linked"))
+    settled = F.coalesce(F.col("a_linked") & F.col("b_linked"), F.lit(False))
+    left = pairs.join(to_a, ["a", "pivot"], "left").join(to_b, ["b", "pivot"], "left").where(~settled).select("a", "b").distinct()
+    all_close = close.unionByName(_similar(left, sets, jaccard))
+    named = [names.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp")) for c in "ab"]
+    close_fps = all_close.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
+    return same.unionByName(close_fps)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_most: int = CELL_MOST, jaccard: float | None = None, near_cell_most: int = NEAR_CELL_MOST) -> DataFrame:
@@ -275,10 +316,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = fps.groupBy("fp").agg(F.min("id").alias("first"))
     found = links(nodes.select("fp"), space, cell_most)
     if marked is not None:
-        found = found.unionByName(near_links(marked, space, jaccard, near_cell_most)).distinct()
+        found = found.unionByName(near_links(docs, marked, space, jaccard, text_col, near_cell_most)).distinct()
     found = space.table(found, "links")
     if marked is not None:
-        space.drop("marks", "sets")
+        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "tags", "close")
     labels = connected_components(found, space)
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = grouped.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,23 @@ class Workspace:
             _delete(self.spark, self.path(name))
 
 
+@contextmanager
+def recording() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Collects the folders of the workspaces made inside, for ``forget``."""
+    made: list[tuple[SparkSession, str]] = []
+    start = len(_leftovers)
+    yield made
+    made += _leftovers[start:]
+
+
+def forget(made: list[tuple[SparkSession, str]]) -> None:
+    """Deletes recorded folders, once what they led to is written."""
+    for spark, uri in made:
+        _delete(spark, uri)
+        _leftovers.remove((spark, uri))
+    made.clear()
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and path of a URI, for use on executors."""
     return pafs.FileSystem.from_uri(uri)
