@@ -12,35 +12,122 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import escape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.functions import markup
+
 #: Bounds of a formula. Fixed values.
 MOST_CHARS, MOST_DEPTH, MOST_ROWS, MOST_COLUMNS = 20_000, 64, 64, 32
 
-#: command, character, native word. Fixed values.
-_SYMBOLS = """
-times × TIMES, div ÷ DIVIDE, cdot ⋅ CDOT, pm ± +-, mp ∓ -+, le ≤ LEQ, leq ≤ LEQ, ge ≥ GEQ, geq ≥ GEQ, ne ≠ !=, neq ≠ !=,
-approx ≈ APPROX, simeq ≃ SIMEQ, cong ≅ CONG, equiv ≡ IDENTICAL, sim ∼ SIM, ll ≪ <<, gg ≫ >>, propto ∝ PROPTO, infty ∞ INF,
-partial ∂ PARTIAL, nabla ∇ NABLA, in ∈ IN, notin ∉ NOTIN, ni ∋ OWNS, subset ⊂ SUBSET, supset ⊃ SUPERSET, subseteq ⊆ SUBSETEQ,
-supseteq ⊇ SUPSETEQ, emptyset ∅ EMPTYSET, cap ∩ SMALLINTER, cup ∪ CUP, wedge ∧ WEDGE, vee ∨ LOR, neg ¬ LNOT, forall ∀ FORALL,
-exists ∃ EXIST, therefore ∴ THEREFORE, because ∵ BECAUSE, perp ⊥ BOT, to → rarrow, rightarrow → rarrow, leftarrow ← larrow,
-leftrightarrow ↔ lrarrow, Rightarrow ⇒ RARROW, Leftarrow ⇐ LARROW, Leftrightarrow ⇔ LRARROW, uparrow ↑ uparrow, downarrow ↓ downarrow,
-mapsto ↦ MAPSTO, sum ∑ SUM, prod ∏ PROD, coprod ∐ COPROD, int ∫ INT, iint ∬ DINT, iiint ∭ TINT, oint ∮ OINT, bigcup ⋃ UNION,
-bigcap ⋂ INTER, oplus ⊕ OPLUS, otimes ⊗ OTIMES, odot ⊙ ODOT, circ ∘ CIRC, bullet ∙ BULLET, ast ∗ AST, cdots ⋯ CDOTS, ldots … LDOTS,
-dots … LDOTS, vdots ⋮ VDOTS, ddots ⋱ DDOTS, prime ′ prime, ell ℓ LITER, hbar ℏ hbar, angle ∠ ANGLE, triangle △ TRIANGLE, mid ∣ |,
-alpha α alpha, beta β beta, gamma γ gamma, delta δ delta, epsilon ϵ epsilon, varepsilon ε varepsilon, zeta ζ zeta, eta η eta,
-theta θ theta, vartheta ϑ vartheta, iota ι iota, kappa κ kappa, lambda λ lambda, mu μ mu, nu ν nu, xi ξ xi, pi π pi, varpi ϖ varpi,
-rho ρ rho, sigma σ sigma, varsigma ς varsigma, tau τ tau, upsilon υ upsilon, phi ϕ phi, varphi φ varphi, chi χ chi, psi ψ psi,
-omega ω omega, Gamma Γ GAMMA, Delta Δ DELTA, Theta Θ THETA, Lambda Λ LAMBDA, Xi Ξ XI, Pi Π PI, Sigma Σ SIGMA, Upsilon Υ UPSILON,
-Phi Φ PHI, Psi Ψ PSI, Omega Ω OMEGA
-"""
-_COMMANDS = {c: (char, word) for c, char, word in (x.split() for x in _SYMBOLS.split(","))}
+#: Greek letters by the name that LaTeX and the native language share; the character follows from it. Fixed values.
+_GREEK = """alpha beta gamma delta zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon chi psi omega""".split()
+_CAPITALS = "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
+#: Letters that stand apart from their Unicode name. Fixed values.
+_VARIANTS = {"epsilon": "ϵ", "varepsilon": "ε", "vartheta": "ϑ", "varpi": "ϖ", "varsigma": "ς", "phi": "ϕ", "varphi": "φ"}
+
+#: Signs by LaTeX command: character, native word. Fixed values.
+_SIGNS = {
+    # arrows
+    "Leftarrow": ("⇐", "LARROW"),
+    "Leftrightarrow": ("⇔", "LRARROW"),
+    "Rightarrow": ("⇒", "RARROW"),
+    "downarrow": ("↓", "downarrow"),
+    "leftarrow": ("←", "larrow"),
+    "leftrightarrow": ("↔", "lrarrow"),
+    "mapsto": ("↦", "MAPSTO"),
+    "rightarrow": ("→", "rarrow"),
+    "to": ("→", "rarrow"),
+    "uparrow": ("↑", "uparrow"),
+    # relations
+    "approx": ("≈", "APPROX"),
+    "cong": ("≅", "CONG"),
+    "equiv": ("≡", "IDENTICAL"),
+    "ge": ("≥", "GEQ"),
+    "geq": ("≥", "GEQ"),
+    "gg": ("≫", ">>"),
+    "le": ("≤", "LEQ"),
+    "leq": ("≤", "LEQ"),
+    "ll": ("≪", "<<"),
+    "mid": ("∣", "|"),
+    "ne": ("≠", "!="),
+    "neq": ("≠", "!="),
+    "perp": ("⊥", "BOT"),
+    "propto": ("∝", "PROPTO"),
+    "sim": ("∼", "SIM"),
+    "simeq": ("≃", "SIMEQ"),
+    # sets and logic
+    "because": ("∵", "BECAUSE"),
+    "cap": ("∩", "SMALLINTER"),
+    "cup": ("∪", "CUP"),
+    "emptyset": ("∅", "EMPTYSET"),
+    "exists": ("∃", "EXIST"),
+    "forall": ("∀", "FORALL"),
+    "in": ("∈", "IN"),
+    "neg": ("¬", "LNOT"),
+    "ni": ("∋", "OWNS"),
+    "notin": ("∉", "NOTIN"),
+    "subset": ("⊂", "SUBSET"),
+    "subseteq": ("⊆", "SUBSETEQ"),
+    "supset": ("⊃", "SUPERSET"),
+    "supseteq": ("⊇", "SUPSETEQ"),
+    "therefore": ("∴", "THEREFORE"),
+    "vee": ("∨", "LOR"),
+    "wedge": ("∧", "WEDGE"),
+    # operations
+    "ast": ("∗", "AST"),
+    "bullet": ("∙", "BULLET"),
+    "cdot": ("⋅", "CDOT"),
+    "circ": ("∘", "CIRC"),
+    "div": ("÷", "DIVIDE"),
+    "mp": ("∓", "-+"),
+    "odot": ("⊙", "ODOT"),
+    "oplus": ("⊕", "OPLUS"),
+    "otimes": ("⊗", "OTIMES"),
+    "pm": ("±", "+-"),
+    "times": ("×", "TIMES"),
+    # large operators
+    "bigcap": ("⋂", "INTER"),
+    "bigcup": ("⋃", "UNION"),
+    "coprod": ("∐", "COPROD"),
+    "iiint": ("∭", "TINT"),
+    "iint": ("∬", "DINT"),
+    "int": ("∫", "INT"),
+    "oint": ("∮", "OINT"),
+    "prod": ("∏", "PROD"),
+    "sum": ("∑", "SUM"),
+    # others
+    "angle": ("∠", "ANGLE"),
+    "cdots": ("⋯", "CDOTS"),
+    "ddots": ("⋱", "DDOTS"),
+    "dots": ("…", "LDOTS"),
+    "ell": ("ℓ", "LITER"),
+    "hbar": ("ℏ", "hbar"),
+    "infty": ("∞", "INF"),
+    "ldots": ("…", "LDOTS"),
+    "nabla": ("∇", "NABLA"),
+    "partial": ("∂", "PARTIAL"),
+    "prime": ("′", "prime"),
+    "triangle": ("△", "TRIANGLE"),
+    "vdots": ("⋮", "VDOTS"),
+}
+
+
+def _greek() -> dict[str, tuple[str, str]]:
+    named = {n: unicodedata.lookup(f"GREEK SMALL LETTER {'LAMDA' if n == 'lambda' else n}") for n in _GREEK} | _VARIANTS
+    capitals = {n: unicodedata.lookup(f"GREEK CAPITAL LETTER {'LAMDA' if n == 'Lambda' else n}") for n in _CAPITALS}
+    return {n: (c, n) for n, c in named.items()} | {n: (c, n.upper()) for n, c in capitals.items()}
+
+
+_COMMANDS = _SIGNS | _greek()
 _WORDS = {char: word for char, word in _COMMANDS.values()} | {"−": "-", "·": "CDOT", "°": "DEG"}
 _LARGE = set("∑∏∐∫∬∭∮⋃⋂")
 _FUNCTIONS = set("sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln lg exp max min lim det gcd arg dim ker Pr".split())
@@ -264,337 +351,415 @@ def parse(latex: str | None, display: bool = False) -> Node:
     return tree
 
 
-@dataclass
-class Part:
-    """A native script with its width, and its height above and below the line, in em."""
+#: Sizes in em. Fixed values.
+_EM = {
+    "glyph": 0.58, "name letter": 0.56, "narrow": 0.35, "wide": 1.0, "large": 1.0, "relation": 0.95, "degree": 0.4,
+    "up": 0.8, "down": 0.2, "large up": 1.05, "large down": 0.35,
+    "script scale": 0.7, "raise": 0.5, "lower": 0.35, "limit gap": 0.15,
+    "bar": 0.35, "bar up": 0.4, "bar down": 0.2, "root": 0.7, "root up": 0.25, "root degree": 0.4,
+    "fence": 0.5, "accent": 0.25, "frame": 0.6, "frame edge": 0.2,
+    "row gap": 0.3, "column gap": 0.8, "brace": 0.5, "axis": 0.25,
+}
+
+
+class Out(NamedTuple):
+    """A part of a formula in both languages, with its width, and its height above and below the line, in em."""
 
     script: str
+    office: str
     width: float = 0.0
-    above: float = 0.8
-    below: float = 0.2
+    up: float = 0.0
+    down: float = 0.0
+
+
+_NOTHING = Out("", "")
+
+
+def _tagged(tag: str, *inside: str) -> str:
+    return f"<m:{tag}>{''.join(inside)}</m:{tag}>"
+
+
+def _looks(tag: str, **values) -> str:
+    """Properties of an Office element."""
+    return _tagged(f"{tag}Pr", *(f'<m:{k} m:val="{escape(str(v))}"/>' for k, v in values.items()))
+
 
+@lru_cache(maxsize=50_000)
+def _text_run(text: str, upright: bool, plain: bool = False, bold: bool = False) -> str:
+    style = "b" if bold else "p" if upright else "i"
+    math_look = "<m:nor/>" if plain else f'<m:scr m:val="roman"/><m:sty m:val="{style}"/>'
+    word_look = '<w:rFonts w:ascii="Cambria Math" w:hAnsi="Cambria Math"/>' + "<w:b/>" * bold + (f'<w:i w:val="{int(not upright)}"/>' if plain else "")
+    return f'<m:r><m:rPr>{math_look}</m:rPr><w:rPr>{word_look}</w:rPr><m:t xml:space="preserve">{escape(text)}</m:t></m:r>'
 
-def _braced(x: str) -> str:
+
+def _glyphs(script: str, office: str, width: float, kind: str = "") -> Out:
+    return Out(script, office, width, _EM[f"{kind}up"], _EM[f"{kind}down"])
+
+
+def _group(x: str) -> str:
     return "{" + x + "}"
 
 
-def _native_row(node: Node) -> Part:
-    parts, items = [], iter(node.parts if node.kind == "row" else [node])
-    for item in items:
-        if item.kind == "script" and item.parts[0].kind == "row" and not item.parts[0].parts:
-            _, sub, sup = item.parts
-            if sub is None and sup is not None and [p.text for p in (sup.parts if sup.kind == "row" else [sup])] in (["∘"], ["°"]):
-                parts.append(Part("DEG", 0.4))
+def _letter(node: Node) -> Out:
+    upright, bold = node.font in ("rm", "rmbold"), node.font in ("rmbold", "bold")
+    return _glyphs(_group(f"{node.font or 'it'} {node.text}"), _text_run(node.text, upright, plain=upright, bold=bold), _EM["glyph"])
+
+
+def _number(node: Node) -> Out:
+    bold = node.font in ("rmbold", "bold")
+    return _glyphs(_group(f"{node.font} {node.text}") if bold else node.text, _text_run(node.text, True, bold=bold), _EM["glyph"] * len(node.text))
+
+
+def _sign(node: Node) -> Out:
+    word = f'"{node.text}"' if node.text in "{}" else _WORDS.get(node.text, node.text)
+    if node.text in _LARGE:
+        return _glyphs(word, _operator(node.text, "", "", False, ""), _EM["large"], "large ")
+    return _glyphs(word, _text_run(node.text, True), _EM["relation" if node.text in "=+−→←" else "glyph"])
+
+
+def _name(node: Node) -> Out:
+    return _glyphs(node.text, _text_run(node.text, True, plain=True), _EM["name letter"] * len(node.text))
+
+
+def _words(node: Node) -> Out:
+    office = _text_run(node.text, True, plain=True)
+    if not node.flag and node.text in "%&#_":
+        return _glyphs(f'"{node.text}"', office, _EM["glyph"])
+    if set(node.text) & set('"\\\r\n'):
+        raise FormulaError("quotes, backslashes or line ends in text")
+    width = sum(_EM["narrow" if c.isspace() else "wide" if "ᄀ" <= c <= "￿" else "glyph"] for c in node.text)
+    return _glyphs(_group(f'rm "{node.text}"'), office, width)
+
+
+def _space(node: Node) -> Out:
+    em = _SPACES[node.text]
+    return Out("`" * round(em * 4), _text_run(" " * int(em) + " " * round(em % 1 * 6), True, plain=True), em)
+
+
+def _fraction(node: Node) -> Out:
+    top, bottom = map(emit, node.parts)
+    office = _tagged("f", "" if node.flag else _looks("f", type="noBar"), _tagged("num", top.office), _tagged("den", bottom.office))
+    script = f"{_group(top.script)} {'OVER' if node.flag else 'ATOP'} {_group(bottom.script)}"
+    return Out(script, office, max(top.width, bottom.width) + _EM["bar"], top.up + top.down + _EM["bar up"], bottom.up + bottom.down + _EM["bar down"])
+
+
+def _root(node: Node) -> Out:
+    body, degree = emit(node.parts[0]), emit(node.parts[1]) if node.parts[1] else _NOTHING
+    head = f"ROOT {_group(degree.script)} OF" if node.parts[1] else "SQRT"
+    office = _tagged("rad", _looks("rad", degHide=int(not node.parts[1])), _tagged("deg", degree.office), _tagged("e", body.office))
+    return Out(f"{head} {_group(body.script)}", office, body.width + _EM["root"] + _EM["root degree"] * degree.width, body.up + _EM["root up"], body.down)
+
+
+def _beside(base: Out, low: Out | None, high: Out | None, marks: tuple[str, str], office: str) -> Out:
+    """A base with scripts at one of its sides."""
+    scale = _EM["script scale"]
+    written = [f"{mark} {_group(x.script)}" for mark, x in zip(marks, (low, high), strict=True) if x]
+    return Out(
+        " ".join([_group(base.script), *written]),
+        office,
+        base.width + scale * max(x.width for x in (low or _NOTHING, high or _NOTHING)),
+        max(base.up, _EM["raise"] + scale * high.up if high else 0),
+        max(base.down, _EM["lower"] + scale * low.down if low else 0),
+    )
+
+
+def _stacked(base: Out, low: Out | None, high: Out | None, office: str) -> Out:
+    """A base with limits below and above."""
+
+    def room(x: Out | None) -> float:
+        return (x.up + x.down) * _EM["script scale"] + _EM["limit gap"] if x else 0
+
+    written = [f"{mark} {_group(x.script)}" for mark, x in (("_", low), ("^", high)) if x]
+    return Out(" ".join([base.script, *written]), office, max(x.width for x in (base, low or _NOTHING, high or _NOTHING)), base.up + room(high), base.down + room(low))
+
+
+def _operator(char: str, low: str, high: str, stacked: bool, operand: str) -> str:
+    look = _looks("nary", chr=char, limLoc="undOvr" if stacked else "subSup", subHide=int(not low), supHide=int(not high))
+    return _tagged("nary", look, _tagged("sub", low), _tagged("sup", high), _tagged("e", operand))
+
+
+def _script(node: Node, operand: str = "") -> Out:
+    core = node.parts[0]
+    base, low, high = (emit(x) if x else None for x in node.parts)
+    texts = [x.office if x else "" for x in (low, high)]
+    if core.kind == "sign" and core.text in _LARGE:
+        office = _operator(core.text, *texts, node.flag, operand)
+    elif node.flag:
+        office = base.office if low is None else _tagged("limLow", _tagged("e", base.office), _tagged("lim", texts[0]))
+        office = office if high is None else _tagged("limUpp", _tagged("e", office), _tagged("lim", texts[1]))
+    else:
+        parts = [_tagged(tag, x.office) for tag, x in (("e", base), ("sub", low), ("sup", high)) if x]
+        office = _tagged("s" + "Sub" * (low is not None) + "Sup" * (high is not None), *parts)
+    return _stacked(base, low, high, office) if node.flag else _beside(base, low, high, ("_", "^"), office)
+
+
+def _fence(node: Node) -> Out:
+    left, right = ("\\{" if d == "{" else d for d in (node.font or "( )").split(" "))
+    inside = emit(node.parts[0])
+    office = _tagged("d", _looks("d", begChr=_DELIMITERS[left][1], endChr=_DELIMITERS[right][1]), _tagged("e", inside.office))
+    marks = [_DELIMITERS[d][0] for d in (left, right)]
+    return inside._replace(script=f"LEFT {marks[0]} {inside.script} RIGHT {marks[1]}", office=office, width=inside.width + _EM["fence"] * sum(d != "." for d in (left, right)))
+
+
+def _accent(node: Node) -> Out:
+    body, (word, mark) = emit(node.parts[0]), _ACCENTS[node.text]
+    inside, below = _tagged("e", body.office), mark == "under"
+    office = _tagged("bar", _looks("bar", pos="bot" if below else "top"), inside) if mark in ("bar", "under") else _tagged("acc", _looks("acc", chr=mark), inside)
+    return Out(f"{word} {_group(body.script)}", office, body.width, body.up + _EM["accent"] * (not below), body.down + _EM["accent"] * below)
+
+
+def _frame(node: Node) -> Out:
+    body, edge = emit(node.parts[0]), _EM["frame edge"]
+    return Out(f"BOX {_group(body.script)}", _tagged("borderBox", _tagged("e", body.office)), body.width + _EM["frame"], body.up + edge, body.down + edge)
+
+
+def _grid(node: Node) -> Out:
+    rows = [[emit(c) for c in r] for r in node.parts]
+    columns = _tagged("mc", _looks("mc", count=len(rows[0]), mcJc="left" if node.flag else "center"))
+    office = _tagged("m", _tagged("mPr", _tagged("mcs", columns)), *(_tagged("mr", *(_tagged("e", c.office) for c in r)) for r in rows))
+    if node.flag:
+        office = _tagged("d", _looks("d", begChr="{", endChr=""), _tagged("e", office))
+    script = " # ".join(" & ".join(_group(c.script) for c in r) for r in rows)
+    half = sum(max(c.up + c.down for c in r) + _EM["row gap"] for r in rows) / 2
+    width = sum(max(c.width for c in column) for column in zip(*rows, strict=True)) + _EM["column gap"] * (len(rows[0]) - 1)
+    return Out(f"{'CASES' if node.flag else 'MATRIX'} {_group(script)}", office, width + _EM["brace"] * node.flag, half + _EM["axis"], half - _EM["axis"])
+
+
+def _is_large(node: Node) -> bool:
+    core = node.parts[0] if node.kind == "script" else node
+    return core.kind == "sign" and core.text in _LARGE
+
+
+def _is_left_script(node: Node) -> bool:
+    """Scripts with nothing before them: they belong to what follows."""
+    return node.kind == "script" and node.parts[0].kind == "row" and not node.parts[0].parts
+
+
+def _is_degree(node: Node) -> bool:
+    raised = node.parts[2] if node.parts[1] is None else None
+    return raised is not None and [x.text for x in (raised.parts if raised.kind == "row" else [raised])] in (["∘"], ["°"])
+
+
+def _opens(node: Node) -> int:
+    """1 for an opening bracket, -1 for a closing one, 0 for others."""
+    core = node.parts[0] if node.kind == "script" else node
+    return (core.text in "([") - (core.text in ")]") if core.kind == "sign" else 0
+
+
+def _reach(parts: list[Node], start: int) -> int:
+    """The place after what a large operator before ``start`` applies to: spaces, then one item or a whole bracket; further operators bring their own."""
+    at, level, after_spaces = start, 0, False
+    while at < len(parts):
+        node = parts[at]
+        at += 1
+        if node.kind == "space" and not after_spaces:
+            continue
+        after_spaces = True
+        level += _opens(node)
+        if level <= 0 and not _is_large(node):
+            break
+    return at
+
+
+def _row(node: Node) -> Out:
+    parts, outs, at = node.parts, [], 0
+    while at < len(parts):
+        part = parts[at]
+        at += 1
+        if _is_left_script(part):
+            if _is_degree(part):
+                outs.append(_glyphs("DEG", _text_run("°", True), _EM["degree"]))
                 continue
-            base = next(items, None)
-            if base is None or base.kind == "sign":
+            if at == len(parts) or parts[at].kind == "sign":
                 raise FormulaError("scripts without a base")
-            parts.append(_scripted(_native(base), sub, sup, "LSUB", "LSUP"))
+            base, low, high = emit(parts[at]), *(emit(x) if x else None for x in part.parts[1:])
+            at += 1
+            office = _tagged("sPre", _tagged("sub", low.office if low else ""), _tagged("sup", high.office if high else ""), _tagged("e", base.office))
+            outs.append(_beside(base, low, high, ("LSUB", "LSUP"), office))
+        elif _is_large(part):
+            stop = _reach(parts, at)
+            operand = _row(Node("row", parts=parts[at:stop]))
+            own = _script(part, operand.office) if part.kind == "script" else emit(part)._replace(office=_operator(part.text, "", "", False, operand.office))
+            outs += [own, operand._replace(office="")]
+            at = stop
         else:
-            parts.append(_native(item))
-    return Part(" ".join(p.script for p in parts if p.script), sum(p.width for p in parts), max([0, *(p.above for p in parts)]), max([0, *(p.below for p in parts)]))
-
-
-def _scripted(base: Part, sub: Node | None, sup: Node | None, low: str = "_", high: str = "^") -> Part:
-    out = Part(_braced(base.script), base.width, base.above, base.below)
-    widest = 0.0
-    for mark, node in ((low, sub), (high, sup)):
-        if node is not None:
-            p = _native_row(node)
-            out.script += f" {mark} {_braced(p.script)}"
-            widest = max(widest, p.width)
-            if mark == low:
-                out.below = max(out.below, 0.35 + p.below * 0.7)
-            else:
-                out.above = max(out.above, 0.5 + p.above * 0.7)
-    out.width += widest * 0.7
-    return out
-
-
-def _native(node: Node) -> Part:
-    kind, text = node.kind, node.text
-    if kind == "row":
-        return _native_row(node)
-    if kind == "letter":
-        return Part(_braced(f"{node.font or 'it'} {text}"), 0.58)
-    if kind == "number":
-        bold = node.font in ("rmbold", "bold")
-        return Part(_braced(f"{node.font} {text}") if bold else text, 0.58 * len(text))
-    if kind == "sign":
-        word = f'"{text}"' if text in "{}" else _WORDS.get(text, text)
-        large = text in _LARGE
-        return Part(word, 1.0 if large else 0.95 if text in "=+−→←" else 0.58, 1.05 if large else 0.8, 0.35 if large else 0.2)
-    if kind == "name":
-        return Part(text, 0.56 * len(text))
-    if kind == "text":
-        if not node.flag and text in "%&#_":
-            return Part(f'"{text}"', 0.58)
-        if re.search(r'["\\\r\n]', text):
-            raise FormulaError("quotes, backslashes or line ends in text")
-        return Part(_braced(f'rm "{text}"'), sum(0.35 if c.isspace() else 1.0 if "ᄀ" <= c <= "￿" else 0.58 for c in text))
-    if kind == "space":
-        return Part("`" * round(_SPACES[text] * 4), _SPACES[text], 0.0, 0.0)
-    if kind == "frac":
-        top, bottom = map(_native_row, node.parts)
-        return Part(f"{_braced(top.script)} {'OVER' if node.flag else 'ATOP'} {_braced(bottom.script)}", max(top.width, bottom.width) + 0.35, top.above + top.below + 0.4, bottom.above + bottom.below + 0.2)
-    if kind == "root":
-        body, degree = _native_row(node.parts[0]), node.parts[1] and _native_row(node.parts[1])
-        head = f"ROOT {_braced(degree.script)} OF" if degree else "SQRT"
-        return Part(f"{head} {_braced(body.script)}", body.width + 0.7 + (0.4 * degree.width if degree else 0), body.above + 0.25, body.below)
-    if kind == "script":
-        base = _native(node.parts[0])
-        if not node.flag:
-            return _scripted(base, *node.parts[1:])
-        for mark, limit in (("_", node.parts[1]), ("^", node.parts[2])):
-            if limit is not None:
-                p = _native_row(limit)
-                room = (p.above + p.below) * 0.7 + 0.15
-                base = Part(f"{base.script} {mark} {_braced(p.script)}", max(base.width, p.width), base.above + room * (mark == "^"), base.below + room * (mark == "_"))
-        return base
-    if kind == "fence":
-        left, right = (node.font or "( )").split(" ")
-        left, right = ("\\{" if left == "{" else left), right
-        inside = _native_row(node.parts[0])
-        marks = [_DELIMITERS[d][0] for d in (left, right)]
-        return Part(f"LEFT {marks[0]} {inside.script} RIGHT {marks[1]}", inside.width + 0.5 * sum(d != "." for d in (left, right)), inside.above, inside.below)
-    if kind == "accent":
-        body, word = _native_row(node.parts[0]), _ACCENTS[text][0]
-        under = word == "UNDER"
-        return Part(f"{word} {_braced(body.script)}", body.width, body.above + 0.25 * (not under), body.below + 0.25 * under)
-    if kind == "box":
-        body = _native_row(node.parts[0])
-        return Part(f"BOX {_braced(body.script)}", body.width + 0.6, body.above + 0.2, body.below + 0.2)
-    grid = [[_native_row(c) for c in r] for r in node.parts]
-    script = " # ".join(" & ".join(_braced(c.script) for c in r) for r in grid)
-    height = sum(max(c.above + c.below for c in r) + 0.3 for r in grid)
-    width = sum(max(c.width for c in column) for column in zip(*grid, strict=True)) + 0.8 * (len(grid[0]) - 1)
-    return Part(f"{'CASES' if node.flag else 'MATRIX'} {_braced(script)}", width + 0.5 * node.flag, height / 2 + 0.25, height / 2 - 0.25)
+            outs.append(emit(part))
+    return Out(" ".join(x.script for x in outs if x.script), "".join(x.office for x in outs), sum(x.width for x in outs), max((x.up for x in outs), default=0), max((x.down for x in outs), default=0))
+
+
+_EMIT: dict[str, Callable[[Node], Out]] = {
+    "row": _row, "letter": _letter, "number": _number, "sign": _sign, "name": _name, "text": _words, "space": _space, "frac": _fraction,
+    "root": _root, "script": _script, "fence": _fence, "accent": _accent, "box": _frame, "table": _grid,
+}
+
+
+def emit(node: Node) -> Out:
+    """Both languages and the size of a tree, in one walk."""
+    return _EMIT[node.kind](node)
 
 
 def native_script(latex: str | None, display: bool = False) -> str:
     """The formula in the native equation language."""
-    return _native_row(parse(latex, display)).script
+    return emit(parse(latex, display)).script
+
+
+def office_math(latex: str | None, display: bool = False) -> str:
+    """The formula as one Office math element."""
+    return _tagged("oMath", emit(parse(latex, display)).office)
 
 
 def measure(latex: str | None, points: float = 10, display: bool = False) -> tuple[int, int, int]:
     """Width, height and baseline estimates in hundredths of a point."""
     if not 1 <= points <= 100:
         raise FormulaError("font size")
-    return _size(_native_row(parse(latex, display)), points)
-
-
-def _size(p: Part, points: float) -> tuple[int, int, int]:
-    width, height, baseline = (math.ceil(em * round(points * 100) * 1.1) for em in (p.width, p.above + p.below, p.above))
-    return width, height, baseline
+    return _size(emit(parse(latex, display)), points)
 
 
-def _m(tag: str, *inside: str) -> str:
-    return f"<m:{tag}>{''.join(inside)}</m:{tag}>"
-
-
-def _run(text: str, upright: bool, plain: bool = False, bold: bool = False) -> str:
-    look = "<m:nor/>" if plain else f'<m:scr m:val="roman"/><m:sty m:val="{"b" if bold else "p" if upright else "i"}"/>'
-    word = '<w:rFonts w:ascii="Cambria Math" w:hAnsi="Cambria Math"/>' + ("<w:b/>" if bold else "") + (f'<w:i w:val="{int(not upright)}"/>' if plain else "")
-    return f'<m:r><m:rPr>{look}</m:rPr><w:rPr>{word}</w:rPr><m:t xml:space="preserve">{escape(text)}</m:t></m:r>'
-
-
-def _omml_row(node: Node | None) -> str:
-    if node is None:
-        return ""
-    out, items = [], list(node.parts if node.kind == "row" else [node])
-    while items:
-        item = items.pop(0)
-        core = item.parts[0] if item.kind == "script" else item
-        if core.kind == "sign" and core.text in _LARGE:
-            low, high = item.parts[1:] if item.kind == "script" else (None, None)
-            operand = _operand(items)
-            place = "undOvr" if item.kind == "script" and item.flag else "subSup"
-            look = f'<m:naryPr><m:chr m:val="{core.text}"/><m:limLoc m:val="{place}"/><m:subHide m:val="{int(low is None)}"/><m:supHide m:val="{int(high is None)}"/></m:naryPr>'
-            out.append(_m("nary", look, _m("sub", _omml_row(low)), _m("sup", _omml_row(high)), _m("e", operand)))
-        elif item.kind == "script" and core.kind == "row" and not core.parts:
-            if not items:
-                raise FormulaError("scripts without a base")
-            out.append(_m("sPre", _m("sub", _omml_row(item.parts[1])), _m("sup", _omml_row(item.parts[2])), _m("e", _omml(items.pop(0)))))
-        else:
-            out.append(_omml(item))
-    return "".join(out)
-
-
-def _operand(items: list[Node]) -> str:
-    """Takes what a large operator applies to: spaces, then one item or a whole bracket with its script."""
-    lead = ""
-    while items and items[0].kind == "space":
-        lead += _omml(items.pop(0))
-    taken, level = [], 0
-    while items:
-        item = items.pop(0)
-        taken.append(item)
-        bare = item.parts[0] if item.kind == "script" else item
-        if bare.kind == "sign":
-            level += (bare.text in "([") - (bare.text in ")]")
-        if level <= 0 and not (bare.kind == "sign" and bare.text in _LARGE):
-            break
-    return lead + _omml_row(Node("row", parts=taken))
-
-
-def _omml(node: Node) -> str:
-    kind, text, parts = node.kind, node.text, node.parts
-    if kind == "row":
-        return _omml_row(node)
-    if kind == "letter":
-        upright, bold = node.font in ("rm", "rmbold"), node.font in ("rmbold", "bold")
-        return _run(text, upright, plain=upright, bold=bold)
-    if kind in ("number", "sign"):
-        return _omml_row(Node("row", parts=[node])) if text in _LARGE else _run(text, True, bold=node.font in ("rmbold", "bold"))
-    if kind in ("name", "text"):
-        return _run(text, True, plain=True)
-    if kind == "space":
-        return _run(" " * int(_SPACES[text]) + " " * round(_SPACES[text] % 1 * 6), True, plain=True)
-    if kind == "frac":
-        return _m("f", "" if node.flag else '<m:fPr><m:type m:val="noBar"/></m:fPr>', _m("num", _omml_row(parts[0])), _m("den", _omml_row(parts[1])))
-    if kind == "root":
-        return _m("rad", f'<m:radPr><m:degHide m:val="{int(parts[1] is None)}"/></m:radPr>', _m("deg", _omml_row(parts[1])), _m("e", _omml_row(parts[0])))
-    if kind == "script":
-        base, low, high = parts
-        if node.flag:
-            inner = _omml(base)
-            inner = inner if low is None else _m("limLow", _m("e", inner), _m("lim", _omml_row(low)))
-            return inner if high is None else _m("limUpp", _m("e", inner), _m("lim", _omml_row(high)))
-        tag = "sSubSup" if low and high else "sSub" if low else "sSup"
-        return _m(tag, _m("e", _omml(base)), *([_m("sub", _omml_row(low))] if low else []), *([_m("sup", _omml_row(high))] if high else []))
-    if kind == "fence":
-        left, right = (("\\{" if d == "{" else d) for d in (node.font or "( )").split(" "))
-        chars = [escape(_DELIMITERS[d][1]) for d in (left, right)]
-        return _m("d", f'<m:dPr><m:begChr m:val="{chars[0]}"/><m:endChr m:val="{chars[1]}"/></m:dPr>', _m("e", _omml_row(parts[0])))
-    if kind == "accent":
-        mark = _ACCENTS[text][1]
-        if mark in ("bar", "under"):
-            return _m("bar", f'<m:barPr><m:pos m:val="{"top" if mark == "bar" else "bot"}"/></m:barPr>', _m("e", _omml_row(parts[0])))
-        return _m("acc", f'<m:accPr><m:chr m:val="{mark}"/></m:accPr>', _m("e", _omml_row(parts[0])))
-    if kind == "box":
-        return _m("borderBox", _m("e", _omml_row(parts[0])))
-    look = f'<m:mPr><m:mcs><m:mc><m:mcPr><m:count m:val="{len(parts[0])}"/><m:mcJc m:val="{"left" if node.flag else "center"}"/></m:mcPr></m:mc></m:mcs></m:mPr>'
-    grid = _m("m", look, *(_m("mr", *(_m("e", _omml_row(c)) for c in r)) for r in parts))
-    return _m("d", '<m:dPr><m:begChr m:val="{"/><m:endChr m:val=""/></m:dPr>', _m("e", grid)) if node.flag else grid
+def _size(out: Out, points: float) -> tuple[int, int, int]:
+    units = round(points * 100)
+    return tuple(math.ceil(em * units * 1.1) for em in (out.width, out.up + out.down, out.up))
 
 
-def office_math(latex: str | None, display: bool = False) -> str:
-    """The formula as one Office math element."""
-    return _m("oMath", _omml_row(parse(latex, display)))
+#: What may begin or end a formula in prose; an escaped character does neither.
+_MARKS = re.compile(r"\\begin\{([a-z]+)\}|\\[\s\S]|\$\$?")
+#: The mark that ends a formula, and whether it stands alone. Fixed values.
+_ENDS = {"$": ("$", False), "$$": ("$$", True), "\\(": ("\\)", False), "\\[": ("\\]", True)}
+_CHOICES = "①②③④⑤"
+_AMOUNT = re.compile(r"\d[\d,]*(?:\.\d+)?\s*")
+#: Commands that are formulae without marks around them, by the number of their arguments. Fixed values.
+_BARE = {"frac": 2, "dfrac": 2, "tfrac": 2, "binom": 2, "sqrt": 1, "vec": 1, "hat": 1, "overline": 1} | dict.fromkeys("lim sum prod int sin cos tan log ln exp min max".split(), 0)
 
 
-#: A whole formula in prose. A price in a numbered choice opens none.
-_SPAN = re.compile(r"(?<!\\)(?:\$\$[\s\S]+?\$\$|\$(?:\\[^\n]|[^$\n])+?\$|\\\([\s\S]+?\\\)|\\\[[\s\S]+?\\\]|\\begin\{(array|[bpv]?matrix|cases)\}[\s\S]+?\\end\{\1\})")
-_PRICE = re.compile(r"([①②③④⑤]\s*)\$(\d[\d,]*(?:\.\d+)?)(?=\s*(?:[①②③④⑤]|\n|\Z))")
-_DOLLAR = re.compile(r"(?<!\\)\$")
+def _is_price(text: str, at: int) -> bool:
+    """Whether the dollar at ``at`` is that of an amount that makes up a whole numbered choice."""
+    if text[:at].rstrip()[-1:] not in tuple(_CHOICES) or text[at : at + 2] == "$$":
+        return False
+    amount = _AMOUNT.match(text, at + 1)
+    after = amount and text[amount.end() : amount.end() + 1]
+    return bool(amount) and (after == "" or after in _CHOICES or "\n" in amount[0])
 
 
-def _masked(text: str) -> str:
-    return _PRICE.sub("\\1\0\\2", text)
+def _marks(text: str, at: int = 0) -> Iterator[re.Match]:
+    """Marks from ``at`` on, without those of prices."""
+    while m := _MARKS.search(text, at):
+        at = m.end()
+        if not (m[0][0] == "$" and _is_price(text, m.start())):
+            yield m
 
 
 def unbalanced(text: str) -> bool:
     """An odd number of formula marks."""
-    return len(_DOLLAR.findall(_masked(text))) % 2 == 1
+    return sum(len(m[0]) for m in _marks(text) if m[0][0] == "$") % 2 == 1
 
 
-#: Commands that are formulae without marks around them, by the number of their arguments. Fixed values.
-_BARE = {"frac": 2, "dfrac": 2, "tfrac": 2, "binom": 2, "sqrt": 1, "vec": 1, "hat": 1, "overline": 1} | dict.fromkeys("lim sum prod int sin cos tan log ln exp min max".split(), 0)
-_COMMAND = re.compile(r"(?<!\\)\\([A-Za-z]+)")
-_SCRIPT = re.compile(r"\s*([\^_])\s*(?:(?=\{)|[A-Za-z0-9α-ωΑ-Ω+−-]|\\(?:alpha|beta|gamma|delta|theta|lambda|mu|pi|sigma|omega|infty)(?![A-Za-z]))")
-
-
-def _group_end(text: str, at: int) -> int | None:
-    """The place after the braced group that opens at ``at``."""
-    level = 0
-    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
-        level += {"{": 1, "}": -1}.get(m[0], 0)
-        if not level:
-            return m.end() if text[at] == "{" else None
+def _closing(text: str, opened: re.Match) -> tuple[int, int, int, bool] | None:
+    """Of the formula that a mark opens: where its inside begins and ends, where it ends itself, whether it stands alone."""
+    if opened[1]:
+        end = text.find(f"\\end{{{opened[1]}}}", opened.end()) if opened[1] in _MATRICES else -1
+        stop = end + len(opened[1]) + 6
+        return (opened.start(), stop, stop, True) if end > opened.end() else None
+    wanted, alone = _ENDS.get(opened[0], ("", False))
+    if not wanted:
+        return None
+    for m in _MARKS.finditer(text, opened.end()):
+        if m[0] == wanted or wanted == "$" and m[0] == "$$":
+            inside = text[opened.end() : m.start()]
+            if not inside or wanted == "$" and "\n" in inside:
+                return None
+            return opened.end(), m.start(), m.start() + len(wanted), alone
     return None
 
 
-def _bare_end(text: str, m: re.Match) -> int | None:
-    """The place after a known command with all its arguments and scripts; None if it is unknown or incomplete."""
-    if m[1] not in _BARE:
+def _bare_end(text: str, at: int) -> int | None:
+    """The place after a known command at ``at`` with all its arguments, in braces, and scripts; None if it is unknown or incomplete."""
+    name = re.compile(r"\\([A-Za-z]+)").match(text, at)
+    if not name or name[1] not in _BARE:
         return None
-    at = m.end()
-    if m[1] == "sqrt" and (degree := re.compile(r"\[[^\]]*\]").match(text, at)):
-        at = degree.end()
-    for _ in range(_BARE[m[1]]):
-        at += len(text[at:]) - len(text[at:].lstrip())
-        end = _group_end(text, at) if text[at : at + 1] == "{" else None
-        if end is None:
-            return None
-        at = end
-    seen = set()
-    while mark := re.compile(r"\s*([\^_])").match(text, at):
-        script = _SCRIPT.match(text, at)
-        if not script or mark[1] in seen:
-            return None
-        seen.add(mark[1])
-        at = script.end()
-        if text[at : at + 1] == "{" and text[at - 1] in "^_ \t\n":
-            end = _group_end(text, at)
-            if end is None or end == at + 2:
+    reader = _Reader(text[at:], False)
+    try:
+        reader.take()
+        if name[1] == "sqrt" and reader.peek() == "[":
+            reader.take()
+            reader.row(("]",), None)
+            reader.take("]")
+        for _ in range(_BARE[name[1]]):
+            if reader.peek() != "{":
                 return None
-            at = end
-    return at
+            reader.argument(None)
+        end = reader.at
+        if reader.peek() in ("^", "_"):
+            scripts = reader.scripts(Node("name", name[1]), None).parts[1:]
+            if any(x is not None and x.kind == "row" and not x.parts for x in scripts):
+                return None
+            end = reader.at
+    except FormulaError:
+        return None
+    return at + len(text[at : len(text) - len("".join(reader.tokens[end:]))].rstrip())
 
 
 def _prose(text: str) -> Iterator[tuple[str, bool, bool]]:
     """Prose with complete bare commands cut out; left whole while a formula mark in it is open."""
-    at = 0
-    if not _DOLLAR.search(_masked(text)):
-        for m in _COMMAND.finditer(text):
-            end = _bare_end(text, m) if m.start() >= at else None
-            if end is not None:
-                if m.start() > at:
-                    yield text[at : m.start()], False, False
-                yield text[m.start() : end], True, False
-                at = end
-    if at < len(text):
-        yield text[at:], False, False
+    start = at = 0
+    closed = not any(m[0][0] == "$" for m in _marks(text))
+    while closed and (at := text.find("\\", at)) >= 0:
+        end = _bare_end(text, at)
+        if end is None:
+            at += 2
+            continue
+        if at > start:
+            yield text[start:at], False, False
+        yield text[at:end], True, False
+        start = at = end
+    if start < len(text):
+        yield text[start:], False, False
 
 
 def split_math(text: str | None) -> list[tuple[str, bool, bool]]:
     """Text, whether it is a formula, whether it stands alone; in order.  Only whole formulae are cut out."""
-    out, at = [], 0
     text = text or ""
-    for m in _SPAN.finditer(_masked(text)):
-        out += _prose(text[at : m.start()])
-        span = text[m.start() : m.end()]
-        alone = span.startswith(("$$", "\\[", "\\begin"))
-        width = 0 if m[1] else 1 if not alone and span[0] == "$" else 2
-        out.append((span[width : len(span) - width], True, alone))
-        at = m.end()
-    return out + list(_prose(text[at:]))
+    out, start, at = [], 0, 0
+    while True:
+        opened = next(_marks(text, at), None)
+        if opened is None:
+            return out + list(_prose(text[start:]))
+        found = _closing(text, opened)
+        if found is None:
+            at = opened.end()
+            continue
+        first, last, end, alone = found
+        out += _prose(text[start : opened.start()])
+        out.append((text[first:last], True, alone))
+        start = at = end
+
+
+#: Commands that make no sense outside a formula. Fixed values.
+_STRUCTURE = {f"\\{n}" for n in "left right begin end frac sqrt sum lim".split()}
 
 
-_STRAY = re.compile(r"[\^_]\s*\{|\\(?:left|right|begin|end|frac|sqrt|sum|lim)(?![A-Za-z])")
-_BARE_BARS = re.compile(r"(?m)^[ \t]*\|[ \t]*\|[ \t]*$")
-_FENCED_TABLE = re.compile(r"(?m)^:::table[^\n]*\n[\s\S]*?^:::[ \t]*$")
-_CONTROL = re.compile("[\0-\x08\x0b\x0c\x0e-\x1f\x7f]")
+def _stray(prose: str) -> bool:
+    tokens = [t for t in _TOKEN.findall(prose) if not t.isspace()]
+    return any(t in _STRUCTURE or t in "^_" and after == "{" for t, after in zip(tokens, [*tokens[1:], ""], strict=True))
+
+
+def _refused(formula: str, display: bool) -> bool:
+    try:
+        parse(formula, display)
+    except FormulaError:
+        return True
+    return False
 
 
 def issues(text: str | None) -> list[str]:
     """Codes of what looks damaged, in a fixed order; latex_syntax is what ``parse`` refuses."""
     text = text or ""
     parts = split_math(re.sub(r"</?[bu]>", "", text))
-
-    def refused(formula: str, display: bool) -> bool:
-        try:
-            parse(formula, display)
-        except FormulaError:
-            return True
-        return False
-
+    lines = [x for b in markup.blocks(text) if b["kind"] != "table" for x in b["text"].split("\n")]
     found = {
-        "invalid_control_character": bool(_CONTROL.search(text)),
+        "invalid_control_character": any(unicodedata.category(c) == "Cc" and c not in "\t\n\r" and c <= "\x7f" for c in text),
         "latex_unbalanced": unbalanced(text),
-        "latex_outside_math": any(not is_math and _STRAY.search(x) for x, is_math, _ in parts),
-        "orphan_absolute_bars": bool(_BARE_BARS.search(_FENCED_TABLE.sub("", text))),
-        "latex_syntax": any(is_math and refused(x, alone) for x, is_math, alone in parts),
+        "latex_outside_math": any(not is_math and _stray(x) for x, is_math, _ in parts),
+        "orphan_absolute_bars": any("".join(x.split()) == "||" for x in lines),
+        "latex_syntax": any(is_math and _refused(x, alone) for x, is_math, alone in parts),
     }
     return [code for code, holds in found.items() if holds]
 
@@ -616,9 +781,8 @@ def converted(df: DataFrame, id_col: str, text_col: str, display: bool = False)
 
     def rows(latex):
         try:
-            tree = parse(latex, display)
-            part = _native_row(tree)
-            return part.script, _m("oMath", _omml_row(tree)), *_size(part, 10), None
+            out = emit(parse(latex, display))
+            return out.script, _tagged("oMath", out.office), *_size(out, 10), None
         except FormulaError as e:
             return None, None, None, None, None, str(e)
 
