@@ -19,7 +19,6 @@ from folioloom.functions import formula
 
 #: Bounds of a script. Fixed values.
 MOST_CHARS, MOST_TOKENS, MOST_DEPTH = 20_000, 4_000, 64
-_TOKEN = re.compile(r'\s+|"[^"\r\n]*"|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|!=|\+-|-\+|<=|>=|<<|>>|[{}_^*%()+\-=/.,:;!?<>|[\]`~]|[^\x00-\x7f]')
 _FONTS = {"rm": "mathrm", "it": "mathit", "rmbold": "mathbf", "bold": "boldsymbol"}
 _ACCENTS = {"BAR": "overline", "HAT": "hat", "VEC": "vec", "TILDE": "tilde", "DOT": "dot", "DDOT": "ddot", "UNDER": "underline", "CHECK": "check", "ACUTE": "acute", "GRAVE": "grave"}
 _FENCES = {word: name for name, (word, _) in formula._DELIMITERS.items()}
@@ -37,11 +36,14 @@ QS BS PV nRT RT nR CV LC gL mgL mr gt ad ab pq dv AB CD AD HA OH CO NH NaCl""".s
 _LAYOUT = set("BOX ROOT MATRIX PMATRIX BMATRIX DMATRIX CASES PILE LPILE RPILE EQALIGN ATOP CHOOSE COLOR PHANTOM".split())
 
 
+_ATOMS = re.compile("(?:" + "|".join(sorted(_ELEMENTS, key=len, reverse=True)) + "){1,6}")
+
+
 def _upright(token: str) -> bool:
-    """A letter, a label, or up to six elements on end."""
-    atoms = re.findall(r"[A-Z][a-z]?", token)
-    joined = "".join(atoms) == token and len(atoms) <= 6 and _ELEMENTS.issuperset(atoms)
-    return bool(re.fullmatch(r"[A-Za-z]", token)) or token.upper() not in _LAYOUT and (token in _LABELS or bool(atoms) and joined)
+    """What stands upright as one symbol: a letter, a unit or label, a compound of few atoms; never a layout word."""
+    if len(token) == 1:
+        return token.isascii() and token.isalpha()
+    return (token in _LABELS or _ATOMS.fullmatch(token) is not None) and token.upper() not in _LAYOUT
 
 
 def _vocabulary() -> dict[str, str]:
@@ -67,161 +69,216 @@ class _Item:
     kind: str
 
 
+_LEXEME = re.compile(r"""
+    (?P<space>\s+) | (?P<quoted>"[^"\r\n]*") | (?P<word>[A-Za-z]+) | (?P<number>[0-9]+(?:\.[0-9]+)?)
+  | (?P<mark>!=|\+-|-\+|<=|>=|<<|>>|[{}_^*%()+\-=/.,:;!?<>|[\]`~]) | (?P<other>[^\x00-\x7f])
+""", re.X)
+
+
+def _worded(word: str) -> list[str]:
+    """A run of letters as tokens: as it stands, in the case that the language knows, or a font with what it is glued to."""
+    if word in _EXACT or _upright(word):
+        return [word]
+    known = _FOLDED.get(word.upper())
+    if known:
+        return [known]
+    for font in sorted(_FONTS, key=len, reverse=True):
+        if word.startswith(font) and _upright(word[len(font) :]):
+            return [font, word[len(font) :]]
+    return [word]
+
+
 def _tokens(script: str) -> list[str]:
     out, at = [], 0
-    while at < len(script):
-        m = _TOKEN.match(script, at)
-        if not m or len(out) > MOST_TOKENS:
-            raise _Outside
-        at, token = m.end(), m[0]
-        word = token if token in _EXACT or _upright(token) else _FOLDED.get(token.upper(), token)
-        font = re.fullmatch(r"(rmbold|bold|rm|it)([A-Za-z]+)", token)
-        if word not in _EXACT and font and _upright(font[2]):
-            out += font.groups()
-        elif not token.isspace():
-            out.append(word)
+    for m in _LEXEME.finditer(script):
+        if m.start() != at:
+            break
+        at = m.end()
+        if m.lastgroup != "space":
+            out += _worded(m[0]) if m.lastgroup == "word" else [m[0]]
+    if at < len(script) or len(out) > MOST_TOKENS + 1:
+        raise _Outside
     return out
 
 
-class _Reader:
+#: What may follow an operand without braces, so that nothing after it could belong to it. Fixed values.
+_ENDERS = {"", ")", "}", "]", "+", "-", "=", ",", "<", ">", "!=", "RIGHT"}
+_WHOLE = re.compile(r"(?:[+\-−] ?)?\d+")
+
+
+class _Grammar:
+    """
+    row     = { font | left pair | term [ OVER term ] [ scripts ] }
+    scripts = { (^ | _ | LSUB | LSUP) operand }
+    operand = { row } in braces | one symbol or number
+    """
+
     def __init__(self, tokens: list[str]):
         self.tokens, self.at, self.depth = tokens, 0, 0
 
-    def peek(self) -> str:
+    @property
+    def next(self) -> str:
         return self.tokens[self.at] if self.at < len(self.tokens) else ""
 
-    def take(self, *wanted: str) -> str:
-        token = self.peek()
-        if not token or wanted and token not in wanted:
+    def taken(self) -> str:
+        if not self.next:
             raise _Outside
         self.at += 1
-        return token
+        return self.tokens[self.at - 1]
+
+    def need(self, token: str) -> None:
+        if self.taken() != token:
+            raise _Outside
 
     def row(self, stop: str, font: str) -> str:
         """Items up to ``stop``, joined by spaces; a font holds to the end of its group."""
-        self.depth += 1
-        if self.depth > MOST_DEPTH:
+        if self.depth == MOST_DEPTH:
             raise _Outside
+        self.depth += 1
         out: list[_Item] = []
-        while self.peek() != stop:
-            if self.peek() in _FONTS:
-                font = _FONTS[self.take()]
-                if self.peek() == stop:
+        while self.next != stop:
+            if self.next in _FONTS:
+                font = _FONTS[self.taken()]
+                if self.next == stop:
                     raise _Outside
-            elif self.peek() in ("^", "_"):
-                out.append(self.numbers_before(font))
-            else:
-                item = self.item(font)
-                if self.peek() == "OVER":
-                    item = self.fraction(item, out, stop, font)
-                out.append(self.scripted(item, font))
+                continue
+            if self.next in ("^", "_"):
+                out.append(self.left_pair(font))
+                continue
+            term = self.term(font)
+            if self.next == "OVER":
+                term = self.over(term, font, stop, first=not out or len(out) == 2 and out[1].latex == "=")
+            out.append(self.with_scripts(term, font))
         self.depth -= 1
         return " ".join(x.latex for x in out)
 
-    def group(self, font: str) -> str:
-        self.take("{")
+    def braced(self, font: str) -> str:
+        self.need("{")
         inside = self.row("}", font)
-        self.take("}")
+        self.need("}")
         return "{" + inside + "}"
 
-    def fraction(self, top: _Item, before: list[_Item], stop: str, font: str) -> _Item:
-        self.take("OVER")
-        bare = top.kind == "number" and self.peek()[:1].isdigit()
-        bottom = self.group(font) if self.peek() == "{" else self.take()
-        alone = self.peek() == stop and (not before or len(before) == 2 and before[1].latex == "=")
-        if not (top.kind == "group" and bottom[0] == "{" or bare and alone):
+    def over(self, top: _Item, font: str, stop: str, first: bool) -> _Item:
+        """Groups on both sides, or two numbers that are the whole row or the whole right side of an equation."""
+        self.need("OVER")
+        if top.kind == "group" and self.next == "{":
+            bottom = self.braced(font)
+        elif top.kind == "number" and first and self.next[:1].isdigit():
+            bottom = self.taken()
+            if self.next != stop:
+                raise _Outside
+        else:
             raise _Outside
         return _Item(f"\\frac{{{top.latex}}}{{{bottom}}}", "done")
 
-    def scripted(self, item: _Item, font: str) -> _Item:
+    def scripts(self, marks: tuple[str, ...], operand) -> dict[str, str]:
+        """Each of the marks at most once, with its operand."""
         found: dict[str, str] = {}
-        while (mark := self.peek()) in ("^", "_", "LSUB", "LSUP"):
-            if mark in found or item.kind not in ("base", "number", "group") or found and mark[0] != next(iter(found))[0] and "L" in mark + next(iter(found)):
-                if mark in ("^", "_") and item.kind in ("sign", "space") and not found:
-                    break  # numbers before the next symbol
+        while self.next in marks:
+            mark = self.taken()
+            if mark in found:
                 raise _Outside
-            self.at += 1
-            found[mark] = self.operand(font, braces=len(mark) > 1)
-        left = {"_": found.get("LSUB"), "^": found.get("LSUP")}
-        if any(left.values()):
-            if item.latex == "{}":
+            found[mark] = operand()
+        return found
+
+    def with_scripts(self, item: _Item, font: str) -> _Item:
+        carries = item.kind in ("base", "number", "group")
+        if self.next in ("LSUB", "LSUP"):
+            found = self.scripts(("LSUB", "LSUP"), lambda: self.operand(font, braces=True))
+            if not carries or item.latex == "{}" or self.next in ("^", "_"):
                 raise _Outside
-            return _Item("{}" + "".join(f"{m}{{{v}}}" for m, v in left.items() if v) + " " + item.latex, "done")
-        return _Item(item.latex + "".join(f"{m}{{{v}}}" for m, v in found.items()), "done" if found else item.kind)
+            left = [f"{mark}{{{found[word]}}}" for mark, word in (("_", "LSUB"), ("^", "LSUP")) if word in found]
+            return _Item("{}" + "".join(left) + " " + item.latex, "done")
+        if self.next not in ("^", "_") or item.kind in ("sign", "space"):
+            return item  # after a sign they belong to what follows
+        if not carries:
+            raise _Outside
+        found = self.scripts(("^", "_"), lambda: self.operand(font))
+        if self.next in ("LSUB", "LSUP"):
+            raise _Outside
+        return _Item(item.latex + "".join(f"{mark}{{{x}}}" for mark, x in found.items()), "done")
 
     def operand(self, font: str, braces: bool = False) -> str:
-        token = self.peek()
-        if token == "{":
-            after = self.tokens[self.at + 1 : self.at + 3]
-            if len(after) == 2 and after[0] in formula._FUNCTIONS and after[1] == "}":
+        if self.next == "{":
+            at = self.at
+            inside = self.braced(font)
+            if self.at == at + 3 and self.tokens[at + 1] in formula._FUNCTIONS:
                 raise _Outside  # a function name alone is no script
-            return self.group(font)
-        if braces or not (re.fullmatch(r"[A-Za-z]|[0-9.]+", token) or token in _WORDS and token not in formula._FUNCTIONS):
+            return inside
+        symbol = len(self.next) == 1 and _upright(self.next) or self.next[:1].isdigit() or self.next in _WORDS and self.next not in formula._FUNCTIONS
+        if braces or not symbol:
             raise _Outside
-        return self.item(font).latex
+        return self.term(font).latex
 
-    def numbers_before(self, font: str) -> _Item:
-        """A pair of numbers, below and above, and the symbol that they belong to."""
-        found: dict[str, str] = {}
-        while (mark := self.peek()) in ("^", "_"):
-            self.at += 1
-            if mark in found:
-                raise _Outside
-            found[mark] = self.group("")
-        if set(found) != {"^", "_"} or not all(re.fullmatch(r"\{(?:[+\-−] ?)?\d+\}", v) for v in found.values()):
+    def left_pair(self, font: str) -> _Item:
+        """Whole numbers below and above, with nothing before them, and the symbol that follows."""
+        found = self.scripts(("^", "_"), lambda: self.braced(""))
+        if len(found) < 2 or not all(_WHOLE.fullmatch(x[1:-1]) for x in found.values()):
             raise _Outside
-        while self.peek() in _FONTS:
-            font = _FONTS[self.take()]
-        if not re.fullmatch(r"[A-Za-z]", self.peek()) and not (font and _upright(self.peek())):
+        while self.next in _FONTS:
+            font = _FONTS[self.taken()]
+        if not (_upright(self.next) and (font or len(self.next) == 1)):
             raise _Outside
-        return _Item(f"{{}}_{{{found['_']}}}^{{{found['^']}}} {self.item(font).latex}", "base")
-
-    def alone(self, font: str) -> str:
-        """A group, or one operand that nothing follows which could belong to it."""
-        if self.peek() != "{":
-            after = self.tokens[self.at + 1 : self.at + 2]
-            if after and not re.fullmatch(r"[)}\]+\-=,<>]|!=|RIGHT", after[0]):
-                raise _Outside
-        return self.operand(font)
-
-    def item(self, font: str) -> _Item:
-        token = self.peek()
-        if token == "{":
-            return _Item(self.group(font), "group")
-        self.take()
-        if token == "SQRT":
-            return _Item(f"\\sqrt{{{self.alone(font)}}}", "done")
-        if token in _ACCENTS:
-            return _Item(f"\\{_ACCENTS[token]}{{{self.alone(font)}}}", "done")
+        below, above = found["_"], found["^"]
+        return _Item(f"{{}}_{{{below}}}^{{{above}}} {self.term(font).latex}", "base")
+
+    def single(self, font: str) -> str:
+        """A group, or one operand after which something ends."""
+        bare = self.next != "{"
+        found = self.operand(font)
+        if bare and self.next not in _ENDERS:
+            raise _Outside
+        return found
+
+    def term(self, font: str) -> _Item:
+        if self.next == "{":
+            return _Item(self.braced(font), "group")
+        token = self.taken()
+        styled = (lambda x: f"\\{font}{{{x}}}") if font else (lambda x: x)
+        if token == "SQRT" or token in _ACCENTS:
+            return _Item(f"\\{_ACCENTS.get(token, 'sqrt')}{{{self.single(font)}}}", "done")
         if token == "LEFT":
-            left = _FENCES.get(self.take())
-            inside = self.row("RIGHT", font)
-            self.take("RIGHT")
-            right = _FENCES.get(self.take())
-            if left is None or right is None:
-                raise _Outside
-            return _Item(f"\\left{left} {inside} \\right{right}", "base")
+            return self.fenced(font)
         if token in _SIGNS:
             return _Item(_SIGNS[token], "space" if token in "`~" else "sign")
         if token in _WORDS:
-            relation = formula._WORDS.get(formula._COMMANDS.get(_WORDS[token][1:], ("", ""))[0], "")
-            upright = token in formula._FUNCTIONS or token in ("SUM", "PROD", "INT", "UNION", "INTER", "INF") or _WORDS[token][1:].lower() in _GREEK
-            return _Item(_WORDS[token], "base" if upright or not relation else "sign")
+            return _Item(_WORDS[token], "base" if _carries(token) else "sign")
         if token[0] == '"':
-            text = re.sub(r"[{}%$&#_]", lambda m: "\\" + m[0], token[1:-1].replace("\\", ""))
-            return _Item(f"\\text{{{text}}}", "base")
+            plain = token[1:-1].replace("\\", "")
+            return _Item("\\text{" + "".join("\\" + c if c in "{}%$&#_" else c for c in plain) + "}", "base")
         if token[0].isdigit():
-            return _Item(f"\\{font}{{{token}}}" if font else token, "number")
-        if re.fullmatch(r"[A-Za-z]", token) or font and font != "boldsymbol" and token.isascii() and _upright(token):
-            return _Item(f"\\{font}{{{token}}}" if font else token, "base")
+            return _Item(styled(token), "number")
+        if len(token) == 1 and _upright(token) or font not in ("", "boldsymbol") and token.isascii() and _upright(token):
+            return _Item(styled(token), "base")
         if token in _LETTERS:
-            return _Item(" ".join(f"\\{font}{{{x}}}" if font else x for x in token), "base")
-        if re.fullmatch(r"[()+\-=/.,:;!?<>|[\]*]", token):
+            return _Item(" ".join(map(styled, token)), "base")
+        if token in _PLAIN:
             return _Item(token, "base" if token in ")]|" else "sign")
         if re.fullmatch(r"[가-힣ㄱ-ㅎㅏ-ㅣ①-⑳㉠-㉿Ⅰ-Ⅻ]", token):
             return _Item(f"\\text{{{token}}}", "base")
         raise _Outside
 
+    def fenced(self, font: str) -> _Item:
+        left = _FENCES.get(self.taken())
+        inside = self.row("RIGHT", font)
+        self.need("RIGHT")
+        right = _FENCES.get(self.taken())
+        if left is None or right is None:
+            raise _Outside
+        return _Item(f"\\left{left} {inside} \\right{right}", "base")
+
+
+#: Signs that stand for themselves.
+_PLAIN = set("()+-=/.,:;!?<>|[]*")
+#: Words other than letters and functions that carry scripts. Fixed values.
+_LARGE = {"SUM", "PROD", "INT", "UNION", "INTER", "INF"}
+
+
+def _carries(word: str) -> bool:
+    """Whether a word may have scripts: functions, letters and large operators."""
+    name = _WORDS[word][1:]
+    return word in formula._FUNCTIONS or word in _LARGE or name.lower() in _GREEK
+
 
 _GREEK = set("alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi varpi rho sigma varsigma tau upsilon phi varphi chi psi omega".split())
 
@@ -231,8 +288,7 @@ def latex_of(script: str | None) -> str | None:
     if not script or not script.strip() or len(script) > MOST_CHARS:
         return None
     try:
-        reader = _Reader(_tokens(script))
-        return reader.row("", "") or None
+        return _Grammar(_tokens(script)).row("", "") or None
     except _Outside:
         return None
 
