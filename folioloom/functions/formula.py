@@ -738,7 +738,7 @@ _STRUCTURE = {f"\\{n}" for n in "left right begin end frac sqrt sum lim".split()
 
 def _stray(prose: str) -> bool:
     tokens = [t for t in _TOKEN.findall(prose) if not t.isspace()]
-    return any(t in _STRUCTURE or t in "^_" and after == "{" for t, after in zip(tokens, [*tokens[1:], ""], strict=True))
+    return any(t in _STRUCTURE or t in "^_" and after == "{" for t, after in zip(tokens, [*tokens[1:], ""], strict=False))
 
 
 def _refused(formula: str, display: bool) -> bool:
