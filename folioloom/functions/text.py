@@ -48,8 +48,8 @@ def duplicated_stem(text: Column, least: int = 240) -> Column:
 
 
 def csv_cell(value: Column) -> Column:
-    """A cell that no spreadsheet runs as a formula: an apostrophe before = + - @ tab or return; quotes doubled."""
-    neutral = F.when(value.rlike(r"\A[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
+    """A cell that no spreadsheet runs as a formula: an apostrophe before = + - @, also after spaces, control or format characters, and before tab or return; quotes doubled."""
+    neutral = F.when(value.rlike(r"\A(?:[\s\p{Z}\p{Cc}\p{Cf}]*[=+\-@]|[\t\r])"), F.concat(F.lit("'"), value)).otherwise(value)
     return F.concat(F.lit('"'), F.replace(neutral, F.lit('"'), F.lit('""')), F.lit('"'))
 
 

@@ -46,17 +46,25 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn("total", F.round(F.sum(value).over(w), 4)).withColumn("fits", F.col("total") <= cap)
 
 
-def payload_ids(df: DataFrame, payload: str, ordinal: str) -> DataFrame:
-    """Dense id of each distinct payload in order of first appearance, with its first row and count.
+def numbered(df: DataFrame, ordinal: str, to: str) -> DataFrame:
+    """Adds the dense number (from 1) of each row in the order of a column of distinct whole numbers.
 
-    Ids are a prefix sum over ranges of first rows: each range numbers its own payloads,
-    so no task sees them all.
+    A prefix sum over ranges of the ordinal: each range numbers its own rows, so no task sees
+    them all.  There are 4,096 ranges between the smallest and the largest value, whatever
+    these are.
     """
+    bounds = df.agg(F.min(ordinal).alias("__low"), F.max(ordinal).alias("__high"))
+    spread = df.crossJoin(F.broadcast(bounds))  # one row
+    ranges = F.floor((F.col(ordinal).cast("double") - F.col("__low")) / (F.col("__high").cast("double") - F.col("__low") + 1) * 4096)
+    ranged = spread.withColumn("__r", ranges).drop("__low", "__high")
+    base = ranged.groupBy("__r").agg(F.count("*").alias("__c"))
+    base = base.select("__r", (F.sum("__c").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__r").orderBy(ordinal))
+    return ranged.withColumn("__k", own).join(base, "__r").withColumn(to, F.col("__base") + F.col("__k")).drop("__r", "__k", "__base")
+
+
+def payload_ids(df: DataFrame, payload: str, ordinal: str) -> DataFrame:
+    """Dense id of each distinct payload in order of first appearance, with its first row and count."""
     raw = F.col(payload) if df.schema[payload].dataType.typeName() == "binary" else F.col(payload).cast("string").cast("binary")
     first = df.groupBy(F.sha2(raw, 256).alias("digest")).agg(F.min(ordinal).alias("first_row"), F.count("*").alias("n"))
-    ranges = F.floor(F.col("first_row") / 4096)
-    base = first.groupBy(ranges.alias("r")).agg(F.count("*").alias("c"))
-    base = base.withColumn("base", F.sum("c").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
-    own = F.row_number().over(Window.partitionBy("r").orderBy("first_row"))
-    numbered = first.withColumn("r", ranges).withColumn("k", own).join(base.select("r", "base"), "r")
-    return numbered.select("digest", "first_row", "n", (F.col("base") + F.col("k")).alias("image_id"))
+    return numbered(first, "first_row", "image_id").select("digest", "first_row", "n", "image_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        context.setCheckpointDir(shared or "/tmp/folioloom-checkpoints")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioloom-"))  # a folder of this machine in local mode alone
     return df.checkpoint()
 
 

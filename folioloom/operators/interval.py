@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioloom.operators.joins import range_join
+
 
 def merged(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """Union of overlapping or touching intervals: keys, low, high, n."""
@@ -33,10 +35,13 @@ def nearest_tick(value: Column, step: int) -> Column:
     return (F.ceil((value - F.lit(step) / 2) / F.lit(step)) * step).cast("bigint")
 
 
-def smallest_container(boxes: DataFrame, key: str, group: list[str], low: str, high: str, area: str) -> DataFrame:
-    """For each interval the smallest one of its group that encloses it and is larger; ties go to the smallest key."""
+def smallest_container(boxes: DataFrame, key: str, group: list[str], low: str, high: str, area: str, width: int = 8) -> DataFrame:
+    """For each interval the smallest one of its group that encloses it and is larger; ties go to the smallest key.
+
+    An enclosing interval covers the start of the other, so pairs come from a range join on that point over cells of ``width``.
+    Intervals equal in place and size stand for each other by their smallest key.
+    """
     inner = boxes.select(*group, F.col(key).alias("inner"), F.col(low).alias("il"), F.col(high).alias("ih"), F.col(area).alias("ia"))
-    outer = boxes.select(*group, F.col(key).alias("outer"), F.col(low).alias("ol"), F.col(high).alias("oh"), F.col(area).alias("oa"))
-    encloses = (F.col("ol") <= F.col("il")) & (F.col("oh") >= F.col("ih")) & (F.col("oa") > F.col("ia"))
-    pairs = inner.join(outer, group).where(encloses)
+    outer = boxes.groupBy(*group, F.col(low).alias("ol"), F.col(high).alias("oh"), F.col(area).alias("oa")).agg(F.min(key).alias("outer"))
+    pairs = range_join(inner, outer, group, "il", "ol", "oh", width).where((F.col("oh") >= F.col("ih")) & (F.col("oa") > F.col("ia")))
     return pairs.groupBy(F.col("inner").alias(key)).agg(F.min_by("outer", F.struct("oa", "outer")).alias("parent"))

@@ -44,8 +44,8 @@ def nearest(facts: DataFrame, marks: DataFrame, keys: list[str], at: str, mark:
     spots = marks.groupBy(*keys, at).agg(F.min(mark).alias(mark)).withColumn("__m", found).drop(mark)
     both = rows.withColumn("__fact", F.lit(1)).unionByName(spots.withColumn("__fact", F.lit(0)), allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy(at, "__fact").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(at, F.desc("__fact")).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("__a", F.last("__m", True).over(before)).withColumn("__b", F.first("__m", True).over(after)).where("__fact = 1")
+    after = Window.partitionBy(*keys).orderBy(F.desc(at), "__fact").rowsBetween(Window.unboundedPreceding, 0)  # a running value, from the end
+    both = both.withColumn("__a", F.last("__m", True).over(before)).withColumn("__b", F.last("__m", True).over(after)).where("__fact = 1")
     back, ahead = F.col(at) - F.col("__a.t"), F.col("__b.t") - F.col(at)
     best = F.when(F.col("__b").isNull() | (back <= ahead), F.col("__a.m")).otherwise(F.col("__b.m"))
     return both.select(*facts.columns, best.alias(mark))
@@ -68,15 +68,20 @@ def scope_sizes(wanted: DataFrame, catalogue: DataFrame, wanted_key: str, key: s
     return joined.select(*wanted.columns, *picked)
 
 
-def rule_candidates(questions: DataFrame, text: str, rules: DataFrame, catalogue: DataFrame, statement: str) -> DataFrame:
+def rule_candidates(questions: DataFrame, text: str, rules: DataFrame, catalogue: DataFrame, statement: str, most: int | None = None) -> DataFrame:
     """Candidates by rules.  ``rules``: rule, test, area, statements (patterns over question and statement), preferred.
 
     A rule's catalogue rows are found once, so patterns over statements are not tried again for each question;
     a candidate has rank 2 if any rule that names it prefers it, else 1.  ``catalogue``: area, code, statement.
+    With ``most`` only the first codes of each rule go on: a rule gives all its codes one rank, so no
+    other can be among the ``most`` best of a question by it.
     """
     if rules.limit(RULES_MOST + 1).count() <= RULES_MOST:
         rules = F.broadcast(rules)
     rows = catalogue.join(rules, "area").where(F.rlike(F.col(statement), F.col("statements"))).select("rule", "code", F.when(F.col("preferred"), 2).otherwise(1).alias("__rank"))
+    if most is not None:
+        of_rule = Window.partitionBy("rule").orderBy("code")
+        rows = rows.distinct().withColumn("__pos", F.row_number().over(of_rule)).where(F.col("__pos") <= most).drop("__pos")
     fired = questions.join(rules.select("rule", "test"), F.rlike(F.col(text), F.col("test"))).select("q", "rule")
     return fired.join(rows, "rule").groupBy("q", "code").agg(F.max("__rank").alias("rank"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def next_flagged(flag: Column, ordinal: str, keys: list) -> Column:
     """Ordinal of the next flagged row of the group after this one, else of the first; null if none is flagged."""
     marked = F.when(flag, F.col(ordinal))
-    ahead = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(1, Window.unboundedFollowing)
-    return F.coalesce(F.min(marked).over(ahead), F.min(marked).over(Window.partitionBy(*keys)))
+    from_the_end = Window.partitionBy(*keys).orderBy(F.desc(ordinal)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.last(marked, ignorenulls=True).over(from_the_end), F.min(marked).over(Window.partitionBy(*keys)))
 
 
 def first_error(rules: list[tuple[str, Column]]) -> Column:

@@ -78,7 +78,11 @@ def longest_chain(df: DataFrame, key: str, order: str, value: str, most_step: in
 
 
 def row_clusters(df: DataFrame, keys: list[str], y: str, order: list[str], tolerance: float) -> DataFrame:
-    """Lines of positioned runs: sorted by y, a run joins the first line whose anchor (its first y) is within tolerance."""
+    """Lines of positioned runs: sorted by y, a run joins the first line whose anchor (its first y) is within tolerance.
+
+    A run without y is in no line (null).  Each anchor depends on the one before, which no window
+    expression says, so the sorted values of a task go through one loop; it holds one anchor.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", line bigint"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,11 +90,14 @@ def row_clusters(df: DataFrame, keys: list[str], y: str, order: list[str], toler
         for frame in frames:
             lines = []
             for *k, v in zip(*(frame[c].tolist() for c in [*keys, y]), strict=True):
+                if v is None or v != v:  # NaN stands for null here
+                    lines.append(None)
+                    continue
                 if k != page:
                     page, anchor, line = k, v, 0
                 elif v - anchor > tolerance:  # values ascend, so only the last anchor can be in reach
                     anchor, line = v, line + 1
                 lines.append(line)
-            yield frame.assign(line=lines)
+            yield frame.assign(line=pd.array(lines, "Int64"))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, y, *order).mapInPandas(run, schema)

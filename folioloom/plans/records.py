@@ -192,7 +192,7 @@ def rule_mapping(spark, t):
     rules = spark.sql(f"select * from values {_RULES} as r(rule, test, area, statements, preferred)").withColumn("test", F.concat(F.lit("(?s)"), "test"))
     catalogue = t("benchmark").select(F.concat(F.lit("src"), C("item_id") % 5).alias("area"), C("item_id").alias("code"), C("text").alias("statement"))
     questions = t("conversations").select((C("conv_id") * 1000 + C("turn")).alias("q"), "text")
-    return joins.top_candidates(joins.rule_candidates(questions, "text", rules, catalogue, "statement"))
+    return joins.top_candidates(joins.rule_candidates(questions, "text", rules, catalogue, "statement", 6))
 
 
 @query("""with r as (select event_id as rid, user_id, event_id as low, event_id + 40 + event_id % 50 as high from events where event_type = 'signup')

@@ -138,11 +138,11 @@ def duplicate_conflict(spark, t):
     return match.target_conflicts(t("lineitem"), "l_partkey", "l_returnflag")
 
 
-@query("""select c_custkey, n_name, n_nationkey is not null as in_catalog from customer left join (select * from nation where n_nationkey % 4 <> 0) on c_nationkey = n_nationkey""")
+@query("""select c_custkey, n_name, n_nationkey is not null as in_catalog from customer left join nation on c_nationkey + c_custkey % 5 = n_nationkey""")
 def dimension_lookup(spark, t):
-    """Catalogue membership; a fourth of the catalogue is missing."""
-    nation = t("nation").where("n_nationkey % 4 <> 0").dropDuplicates(["n_nationkey"])
-    return t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", F.col("n_nationkey").isNotNull().alias("in_catalog"))
+    """Catalogue membership; some customers name a nation past the last one."""
+    nation = t("nation").dropDuplicates(["n_nationkey"])
+    return t("customer").join(nation, F.col("c_nationkey") + F.col("c_custkey") % 5 == F.col("n_nationkey"), "left").select("c_custkey", "n_name", F.col("n_nationkey").isNotNull().alias("in_catalog"))
 
 
 @query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
@@ -186,12 +186,12 @@ def bank_search(spark, t):
     return bank.search(t("documents"), " The ER ", ["source", "lang", "text"], ("source", "src1")).select("doc_id", "source")
 
 
-@query("""with w as (select row_number() over (order by c_custkey) - 1 as pos, (c_custkey * 37) % 20000 as id from customer where c_custkey % 10 = 0)
+@query("""with w as (select row_number() over (order by c_custkey) - 1 as pos, (c_custkey * 37) % 20000 as id from customer)
 select pos, id, o_totalprice, o_orderkey is not null as found from w left join orders on o_orderkey = id""")
 def bank_select(spark, t):
     """Ids in the order of the request; those that are missing are told."""
-    wanted = t("customer").where("c_custkey % 10 = 0")
-    ids = wanted.agg(F.array_sort(F.collect_list("c_custkey")).alias("k")).select(F.posexplode("k").alias("pos", "c")).select(F.col("pos").cast("bigint").alias("pos"), ((F.col("c") * 37) % 20000).alias("id"))
+    asked = bank.numbered(t("customer").select("c_custkey"), "c_custkey", "n")
+    ids = asked.select((F.col("n") - 1).alias("pos"), ((F.col("c_custkey") * 37) % 20000).alias("id"))
     return bank.select_ordered(t("orders"), "o_orderkey", ids).select("pos", "id", "o_totalprice", "found")
 
 
@@ -232,10 +232,11 @@ def section_islands(spark, t):
     return t("conversations").select("conv_id", "turn", segment.island(F.col("role") == "user", ["conv_id"], ["turn"]).alias("section"))
 
 
-@query("""with s as (select conv_id, turn from conversations where turn % 3 <> 1)
+@query("""with s as (select conv_id, turn from conversations where role = 'user')
 select conv_id, turn, lead(turn) over w as until, coalesce(lead(turn) over w > turn + 1, false) as gap from s window w as (partition by conv_id order by turn)""")
 def question_spans(spark, t):
-    return segment.spans(t("conversations").where("turn % 3 <> 1").select("conv_id", "turn"), ["conv_id"], "turn")
+    """A question starts at each turn of the user and holds what follows."""
+    return segment.spans(t("conversations").where("role = 'user'").select("conv_id", "turn"), ["conv_id"], "turn")
 
 
 @query("""select e.event_id, m.event_id as mark_mark_id, m.value as mark_value from events e asof left join (select * from events where event_type = 'click') m
@@ -263,7 +264,11 @@ def lis_gap12(spark, t):
     return segment.longest_chain(events, "user_id", "event_id", "n")
 
 
-@query()
+@query("""with recursive n as (select *, row_number() over (partition by l_orderkey order by l_quantity, l_partkey, l_suppkey, l_linenumber) as k from lineitem),
+c as (select l_orderkey, l_quantity, l_partkey, l_suppkey, l_linenumber, k, l_quantity as anchor, cast(0 as bigint) as line from n where k = 1
+union all select n.l_orderkey, n.l_quantity, n.l_partkey, n.l_suppkey, n.l_linenumber, n.k, case when n.l_quantity - anchor > 2.5 then n.l_quantity else anchor end, line + case when n.l_quantity - anchor > 2.5 then 1 else 0 end
+from c join n on n.l_orderkey = c.l_orderkey and n.k = c.k + 1)
+select l_orderkey, l_quantity, l_partkey, l_suppkey, l_linenumber, line from c""")
 def row_cluster(spark, t):
     """Lines of each order clustered by quantity within 2.5."""
     rows = t("lineitem").select("l_orderkey", "l_quantity", "l_partkey", "l_suppkey", "l_linenumber")
@@ -356,11 +361,12 @@ def version_argmax(spark, t):
     return rows.groupBy("p_brand").agg(F.max_by("tag", "key").alias("latest"))
 
 
-@query(r"""with p as (select page_id, case page_id % 4 when 0 then '=' when 1 then '"-' when 2 then '+' else '' end || url as v from pages)
-select page_id, '"' || replace(case when v[1] in ('=', '+', '-', '@') then '''' || v else v end, '"', '""') || '"' as cell from p""")
+@query(r"""with p as (select page_id, case page_id % 6 when 0 then '=' when 1 then '"-' when 2 then '+' when 3 then '  =' when 4 then chr(8203) || '@' else '' end || url as v from pages)
+select page_id, '"' || replace(case when regexp_matches(v, '^[\s\p{Z}\p{Cc}\p{Cf}]*[=+@-]') then '''' || v else v end, '"', '""') || '"' as cell from p""")
 def csv_neutralise(spark, t):
-    k = F.col("page_id") % 4
-    value = F.concat(F.when(k == 0, "=").when(k == 1, '"-').when(k == 2, "+").otherwise(""), F.col("url"))
+    """Among the pages' addresses some that begin as formulae do, plainly or behind characters that do not show."""
+    k = F.col("page_id") % 6
+    value = F.concat(F.when(k == 0, "=").when(k == 1, '"-').when(k == 2, "+").when(k == 3, "  =").when(k == 4, "\u200b@").otherwise(""), F.col("url"))
     return t("pages").select("page_id", fx.csv_cell(value).alias("cell"))
 
 

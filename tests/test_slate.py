@@ -61,6 +61,37 @@ def test_row_clusters_keep_the_first_anchor(spark):
     assert [r.line for r in segment.row_clusters(df, ["page"], "y", ["i"], 2.5).orderBy("y").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_rows_without_a_place_are_in_no_line(spark):
+    df = spark.createDataFrame([("p", y, i) for i, y in enumerate([None, 1.0, 50.0, 99.0, None])] + [("q", None, 9)], "page string, y double, i int")
+    assert {r.i: r.line for r in segment.row_clusters(df, ["page"], "y", ["i"], 2.5).collect()} == {0: None, 4: None, 9: None, 1: 0, 2: 1, 3: 2}
+
+
+def test_cells_that_would_run_as_formulae(spark):
+    values = ["=1", " =1", "\u00a0+1", "\u200b@x", "\x00-1", "\t1", "\r=", "1=2", "a -b", " plain", ""]
+    got = [r.c for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").select("k", fx.csv_cell(F.col("v")).alias("c")).orderBy("k").collect()]
+    assert got == [f"\"'{v}\"" for v in values[:7]] + [f'"{v}"' for v in values[7:]]
+
+
+def test_numbers_are_dense_over_sparse_values(spark):
+    values = [-(10**17), 5, 6, 10**12, 10**17, 10**17 + 1]
+    got = bank.numbered(spark.createDataFrame([(v,) for v in values], "v long"), "v", "n").orderBy("v").collect()
+    assert [(r.v, r.n) for r in got] == [(v, k) for k, v in enumerate(values, 1)]
+
+
+def test_smallest_container_against_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    boxes = [(k, k % 2, low, low + rng.randint(0, 40), rng.randint(0, 5)) for k in range(120) for low in [rng.randint(-30, 30)]]
+    want = {}
+    for a in boxes:
+        over = [(b[4], b[0]) for b in boxes if b[1] == a[1] and b[2] <= a[2] and b[3] >= a[3] and b[4] > a[4]]
+        if over:
+            want[a[0]] = min(over)[1]
+    got = interval.smallest_container(spark.createDataFrame(boxes, "k long, g long, low long, high long, area long"), "k", ["g"], "low", "high", "area")
+    assert {r.k: r.parent for r in got.collect()} == want
+
+
 def test_tokens_drop_particles_and_stop_words(spark):
     df = spark.createDataFrame([("질량과 길이의 측정값을 비교한다. The A-b mass",)], "t string")
     assert df.select(fx.tokens(F.col("t")).alias("x")).first().x == ["질량", "길이", "측정값", "비교한다", "mass"]
