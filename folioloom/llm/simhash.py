@@ -227,16 +227,16 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``cells``: sig, key.  Of every cell the pairs of a member and its pivots, a, b, pivot; all pairs a, b, pivot of the cells that are not crowded; the sigs of the others."""
+    """``cells``: sig, key.  Of every cell the pairs a, b of a member and its pivots; all other pairs of the cells that are not crowded; the sigs of the others."""
     shared = space.table(cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-shared")
     members = space.table(cells.join(shared, "key"), f"{name}-members")
     weight = members.groupBy("sig").agg(F.sum("size").alias("weight"))
     pivots = members.join(weight, "sig").groupBy("key").agg(F.max_by("sig", F.struct("weight", "sig")).alias("central"), F.min_by("sig", F.xxhash64("sig", "key")).alias("picked"))
     crowded = F.col("size") > cell_most
     stars = members.join(pivots, "key").select("sig", F.explode(F.when(crowded, F.array("central", "picked")).otherwise(F.array("central"))).alias("pivot")).where("sig <> pivot")
-    small = members.where(~crowded).join(pivots.select("key", "central"), "key").groupBy("key", "central").agg(F.collect_list("sig").alias("sigs"))
-    pairs = small.select("central", "sigs", F.explode("sigs").alias("a")).select("central", "a", F.explode("sigs").alias("b")).where("a < b and a <> central and b <> central")
-    return stars.select(*_in_order("sig", "pivot")).distinct(), pairs.select("a", "b", F.col("central").alias("pivot")), members.where(crowded).select("sig").distinct()
+    small = members.where(~crowded).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
+    pairs = small.select("sigs", F.explode("sigs").alias("a")).select("a", F.explode("sigs").alias("b")).where("a < b")
+    return stars.select(*_in_order("sig", "pivot")).distinct(), pairs, members.where(crowded).select("sig").distinct()
 
 
 def _in_order(one: str, other: str) -> list[Column]:
@@ -276,7 +276,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
 def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, text_col: str = "text", cell_most: int = NEAR_CELL_MOST) -> DataFrame:
     """``marked``: as of ``marks`` for ``docs``.  Links a, b of fingerprints that connect all candidates at least ``jaccard`` similar.
 
-    Pairs with a cell's pivot are checked first; another pair of the cell only where not both are linked to the pivot.
+    Pairs with a cell's pivot are checked first; another candidate only where these links do not connect its ends yet.
     """
     rows = marked.where("sig is not null")
     kinds = space.table(rows.select("sig", "fp").distinct(), "kinds")
@@ -292,16 +292,16 @@ def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: fl
     def of_like_size(some: DataFrame) -> DataFrame:
         return some.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(fits).drop("a_n", "b_n")
 
-    stars = space.table(of_like_size(stars.unionByName(finer_stars).distinct()), "stars")
-    pairs = space.table(of_like_size(pairs.unionByName(finer_pairs).distinct()), "pairs")
-    needed = stars.unionByName(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    stars = space.table(of_like_size(stars), "stars")
+    pairs = space.table(of_like_size(finer_stars.unionByName(pairs).unionByName(finer_pairs).distinct()), "pairs")
+    needed = stars.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     tags = space.table(nodes.join(needed, "sig", "left_semi").select("tag"), "tags")
     sets = _needed_sets(docs, text_col, tags)
     close = space.table(_similar(stars, sets, jaccard), "close")
-    linked = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    to_a, to_b = linked.select(F.col("a"), F.col("b").alias("pivot"), F.lit(True).alias("a_linked")), linked.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.lit(True).alias("b_linked"))
-    settled = F.coalesce(F.col("a_linked") & F.col("b_linked"), F.lit(False))
-    left = pairs.join(to_a, ["a", "pivot"], "left").join(to_b, ["b", "pivot"], "left").where(~settled).select("a", "b").distinct()
+    reached = connected_components(close, Workspace(docs.sparkSession, "simhash-near"))
+    at = [reached.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
+    apart = ~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))
+    left = space.table(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(apart).select("a", "b"), "left")
     all_close = close.unionByName(_similar(left, sets, jaccard))
     named = [names.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp")) for c in "ab"]
     close_fps = all_close.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
@@ -319,7 +319,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.unionByName(near_links(docs, marked, space, jaccard, text_col, near_cell_most)).distinct()
     found = space.table(found, "links")
     if marked is not None:
-        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "tags", "close")
+        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "tags", "close", "left")
     labels = connected_components(found, space)
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
