@@ -29,8 +29,9 @@ component unless all ids of it are null; repeated rows behave like copies.
 With ``jaccard`` (the pipeline's stage), documents are linked as well if the sets
 of their 5-word shingles are at least so similar.  Such pairs differ in about ten
 bits, beyond any grid, so candidates come from MinHash bands: equal in one of
-BANDS bands of ROWS minima (at similarity 0.8, all but 1 in 13,000 are), then the
-exact similarity.  In a cell of over NEAR_CELL_MOST sets not every pair is a candidate:
+BANDS bands of ROWS minima (at similarity 0.8, all but 1 in 13,000 are), then a bound
+that needs no sets (their parities differ in no more bits than the sets do in members),
+then the exact similarity.  In a cell of over NEAR_CELL_MOST sets not every pair is a candidate:
 members meet the cell's most central member and one picked by hash, and all
 pairs of each cell that two bands make together if that one is small.
 """
@@ -200,9 +201,37 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _tag(text: str) -> Column:
-    """What names a text in filters."""
-    return F.xxhash64(F.col(text).cast("string"))
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether the number of members with hash i is odd; there is a power of two of bits, one for each member or more."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) & bits - 1, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At least so many members are in just one of the sets with these parities."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ folded).sum())
+
+
+def _hopeful(pairs: DataFrame, jaccard: float) -> DataFrame:
+    """``pairs``: a, b with a_n, b_n, a_parity, b_parity.  Those a, b that the parities do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            members = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            # sets of Jaccard j differ in (1 - j) / (1 + j) of their members, both sets' counted
+            near = np.array(apart, np.float64) * (1 + jaccard) <= members * (1 - jaccard) + 1e-6
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(run, "a bigint, b bigint")
+
+
+def _tag(ident: str, text: str) -> Column:
+    """What names a row in filters; copies have names of their own, so that one of them can stand for all."""
+    return F.xxhash64(F.col(ident), F.col(text).cast("string"))
 
 
 def _signature(shingles: np.ndarray) -> int | None:
@@ -210,8 +239,8 @@ def _signature(shingles: np.ndarray) -> int | None:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, tag, fp, and of texts with words: sig (of the shingle set), n (its size), bands."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    """id, tag, fp, and of texts with words: sig (of the shingle set), n (its size), bands, parity."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _tag(id_col, text_col).alias("tag"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +250,10 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             fps = pa.array([fingerprint(t) for t in texts], pa.int64())
             sigs, sizes = pa.array(map(_signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64())
             bands = pa.array([band_keys(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, sigs, sizes, bands], ["id", "tag", "fp", "sig", "n", "bands"])
+            parities = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps, sigs, sizes, bands, parities], ["id", "tag", "fp", "sig", "n", "bands", "parity"])
 
-    return source.mapInArrow(run, f"id {kind}, tag bigint, fp bigint, sig bigint, n bigint, bands array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, tag bigint, fp bigint, sig bigint, n bigint, bands array<bigint>, parity binary")
 
 
 def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -243,9 +273,9 @@ def _in_order(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _needed_sets(docs: DataFrame, text_col: str, tags: DataFrame) -> DataFrame:
-    """sig and shingles of the texts with these tags (and of few others), so that not every set is shuffled."""
-    bits = min(SIEVE_BITS, max(20, (16 * tags.count()).bit_length()))
+def _needed_sets(docs: DataFrame, id_col: str, text_col: str, tags: DataFrame) -> DataFrame:
+    """sig and shingles of the rows with these tags (and of few others), so that not every set is shuffled."""
+    bits = min(SIEVE_BITS, max(20, (64 * tags.count()).bit_length()))
     slot = F.shiftrightunsigned("tag", 64 - bits)
     words = tags.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
     sieve = np.zeros(1 << bits - 6, np.uint64)
@@ -261,7 +291,7 @@ def _needed_sets(docs: DataFrame, text_col: str, tags: DataFrame) -> DataFrame:
             halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(map(_signature, sets), pa.int64()), pa.array(halves, pa.list_(pa.int32()))], ["sig", "shingles"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), _tag(text_col).alias("tag"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), _tag(id_col, text_col).alias("tag"))
     return rows.mapInArrow(run, "sig bigint, shingles array<int>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
 
 
@@ -273,7 +303,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return both.where(F.col("n") >= F.lit(jaccard) * (F.col("a_n") + F.col("b_n") - F.col("n"))).select("a", "b")
 
 
-def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, text_col: str = "text", cell_most: int = NEAR_CELL_MOST) -> DataFrame:
+def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, id_col: str = "doc_id", text_col: str = "text", cell_most: int = NEAR_CELL_MOST) -> DataFrame:
     """``marked``: as of ``marks`` for ``docs``.  Links a, b of fingerprints that connect all candidates at least ``jaccard`` similar.
 
     Pairs with a cell's pivot are checked first; another candidate only where these links do not connect its ends yet.
@@ -282,27 +312,29 @@ def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: fl
     kinds = space.table(rows.select("sig", "fp").distinct(), "kinds")
     names = kinds.groupBy("sig").agg(F.min("fp").alias("name"))
     same = kinds.join(names, "sig").where("fp <> name").select(F.col("name").alias("a"), F.col("fp").alias("b"))
-    nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min("tag").alias("tag")), "nodes")
+    nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.first("n").alias("n"), F.min("tag").alias("tag")), "nodes")
     stars, pairs, crowded = _meetings(nodes.select("sig", F.explode(F.transform("bands", lambda key, k: F.xxhash64(key, k))).alias("key")), space, "bands", cell_most)
     two = F.transform("bands", lambda key, k: F.xxhash64(key, F.element_at("bands", (k + 1) % BANDS + 1), k))
     finer_stars, finer_pairs, _ = _meetings(nodes.join(space.table(crowded, "crowded"), "sig", "left_semi").select("sig", F.explode(two).alias("key")), space, "finer", cell_most)
-    sizes = nodes.select("sig", "n")
+    about = [nodes.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "ab"]
     fits = F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n")
 
-    def of_like_size(some: DataFrame) -> DataFrame:
-        return some.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b").where(fits).drop("a_n", "b_n")
+    def hopeful(some: DataFrame) -> DataFrame:
+        return _hopeful(some.join(about[0], "a").join(about[1], "b").where(fits), jaccard)
+
+    def checked(some: DataFrame, name: str) -> DataFrame:
+        needed = some.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        tags = space.table(nodes.join(needed, "sig", "left_semi").select("tag"), f"{name}-tags")
+        return space.table(_similar(some, _needed_sets(docs, id_col, text_col, tags), jaccard), f"{name}-close")
 
-    stars = space.table(of_like_size(stars), "stars")
-    pairs = space.table(of_like_size(finer_stars.unionByName(pairs).unionByName(finer_pairs).distinct()), "pairs")
-    needed = stars.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    tags = space.table(nodes.join(needed, "sig", "left_semi").select("tag"), "tags")
-    sets = _needed_sets(docs, text_col, tags)
-    close = space.table(_similar(stars, sets, jaccard), "close")
+    stars = space.table(hopeful(stars), "stars")
+    pairs = space.table(hopeful(finer_stars.unionByName(pairs).unionByName(finer_pairs).distinct()), "pairs")
+    close = checked(stars, "stars")
     reached = connected_components(close, Workspace(docs.sparkSession, "simhash-near"))
     at = [reached.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
     apart = ~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))
     left = space.table(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(apart).select("a", "b"), "left")
-    all_close = close.unionByName(_similar(left, sets, jaccard))
+    all_close = close.unionByName(checked(left, "left"))
     named = [names.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp")) for c in "ab"]
     close_fps = all_close.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
     return same.unionByName(close_fps)
@@ -316,10 +348,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = fps.groupBy("fp").agg(F.min("id").alias("first"))
     found = links(nodes.select("fp"), space, cell_most)
     if marked is not None:
-        found = found.unionByName(near_links(docs, marked, space, jaccard, text_col, near_cell_most)).distinct()
+        found = found.unionByName(near_links(docs, marked, space, jaccard, id_col, text_col, near_cell_most)).distinct()
     found = space.table(found, "links")
     if marked is not None:
-        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "tags", "close", "left")
+        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "left", "stars-tags", "stars-close", "left-tags", "left-close")
     labels = connected_components(found, space)
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = grouped.groupBy("label").agg(F.min("first").alias("component_id"))

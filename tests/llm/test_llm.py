@@ -781,3 +781,15 @@ def test_pipeline_of_empty_and_awkward_tables(spark, tmp_path, docs, empty):
 def failed(text):
     known = dict(zip(rules.MEASURES, rules.measure(text.encode()), strict=True))
     return sum(1 << r.bit for r in rules.RULES if eval(r.fails, {}, known))
+
+
+def test_parities_never_rule_out_sets_that_are_similar():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 65, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for gone, new in ((0, 0), (n // 9, 0), (n // 20, n // 20), (n // 2, n // 2), (0, n // 4)):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, np.uint64)]))
+            if len(b):
+                apart = len(np.setxor1d(a, b))
+                assert simhash.least_difference(simhash.parity(a), simhash.parity(b)) <= apart
+                assert simhash.least_difference(simhash.parity(b), simhash.parity(a)) <= apart
