@@ -6,10 +6,12 @@ every document inside the part, one more entry at the end) and ``doc`` (int64
 document ids).  ``manifest`` is a table with one row per part; a part's base is
 the prefix sum of the token counts before it.  Readers memory-map parts.
 
-Documents are laid out in ascending id order: one range exchange, one sort in
-each range.  Null ids come first and read back as null; repeated ids stand
-beside each other, ordered by text.  Null and empty texts hold only the end id.
-An empty table gives an empty manifest.  Only id and text are read.
+Documents are laid out in ascending id order: texts are encoded where they are
+read, and the ids, which take less than half their room, go through one range
+exchange and one sort in each range.  Null ids come first and read back as null;
+repeated ids stand beside each other, ordered by their tokens' bytes.  Null and
+empty texts hold only the end id.  An empty table gives an empty manifest.  Only
+id and text are read.
 
 Every task attempt writes files under a name of its own; the manifest names
 those of the attempts that succeeded, so retried and duplicate tasks do no harm.
@@ -24,6 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +39,44 @@ _NULL_ID = np.iinfo(np.int64).min
 _PART = "part int, base string, width int, n_docs bigint, n_tokens bigint"
 
 
+def encoded(docs: DataFrame, vocab: str = VOCAB, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and tokens (little-endian, as wide as the files') of every document, the end id included."""
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocab)
+        end = np.array([end_id], enc.dtype).tobytes()
+        for batch in slices(batches):
+            tokens = [enc.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
+            enc.trim()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["id", "tokens"])
+
+    return source.mapInArrow(run, "id bigint, tokens binary")
+
+
 def write_tokens(docs: DataFrame, uri: str, vocab: str = VOCAB, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files below ``uri`` and returns the manifest (written there too), with ``start`` of each part."""
     spark = docs.sparkSession
     make_dir(uri)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
+    space = Workspace(spark, "encoded")  # a table, as finding the ranges reads the ids once more
+    ordered = space.table(encoded(docs, vocab, end_id, id_col, text_col), "tokens").repartitionByRange("id").sortWithinPartitions("id", "tokens")
+    width = encoder(vocab).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(vocab), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         base = f"{uri}/{part:07d}-{uuid.uuid4().hex}"
-        end = np.array([end_id], enc.dtype).tobytes()
         ids, lengths, out = [], [], None
-        for batch in slices(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             if out is None:
                 fs, path = open_fs(base)
                 out = fs.open_output_stream(path + ".ids")
-            encoded = [enc.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
-            enc.trim()
-            out.write(b"".join(encoded))
-            lengths.append(np.fromiter(map(len, encoded), np.int64, len(encoded)) // enc.dtype.itemsize)
+            for tokens in batch.column(1):
+                out.write(tokens.as_buffer())
+            lengths.append(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // width)
             ids.append(batch.column(0).fill_null(_NULL_ID).to_numpy())
         if out is None:
             return
@@ -66,10 +85,11 @@ def write_tokens(docs: DataFrame, uri: str, vocab: str = VOCAB, end_id: int = EN
         for suffix, data in ((".off", offsets), (".doc", np.concatenate(ids).astype("<i8"))):
             with fs.open_output_stream(path + suffix) as f:
                 f.write(data.tobytes())
-        row = {"part": part, "base": base, "width": enc.dtype.itemsize, "n_docs": len(offsets) - 1, "n_tokens": int(offsets[-1])}
+        row = {"part": part, "base": base, "width": width, "n_docs": len(offsets) - 1, "n_tokens": int(offsets[-1])}
         yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("base", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     parts = sorted(ordered.mapInArrow(run, _PART).collect())  # a row per part, not per document
+    space.drop("tokens")
     starts = accumulate((p.n_tokens for p in parts), initial=0)
     manifest = spark.createDataFrame([(*p, s) for p, s in zip(parts, starts, strict=False)], _PART + ", start bigint")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{uri}/manifest")
