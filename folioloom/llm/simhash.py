@@ -42,6 +42,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -273,19 +274,30 @@ def _in_order(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+class Sieve:
+    """Which 64-bit hashes are among those of a table: never no for one that is, seldom yes for another; of bounded size."""
+
+    def __init__(self, hashes: DataFrame, name: str):
+        bits = min(SIEVE_BITS, max(20, (64 * hashes.count()).bit_length()))
+        slot = F.shiftrightunsigned(name, 64 - bits)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        words = hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = np.zeros(1 << bits - 6, np.uint64)
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        self.bits, self.table = bits, hashes.sparkSession.sparkContext.broadcast(table)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.table.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _needed_sets(docs: DataFrame, id_col: str, text_col: str, tags: DataFrame) -> DataFrame:
     """sig and shingles of the rows with these tags (and of few others), so that not every set is shuffled."""
-    bits = min(SIEVE_BITS, max(20, (64 * tags.count()).bit_length()))
-    slot = F.shiftrightunsigned("tag", 64 - bits)
-    words = tags.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
-    sieve = np.zeros(1 << bits - 6, np.uint64)
-    sieve[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    sieve = Sieve(tags, "tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            inside = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            inside = sieve.holds(batch.column(1).to_numpy())
             sets = [s for s in map(shingle_set, raw_texts(batch.filter(pa.array(inside)).column(0))) if len(s)]
             # a set goes on as the upper halves of its hashes, distinct ones
             halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
@@ -373,8 +385,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ja
     groups = components(keyed.select("key", f"c{text}"), "key", f"c{text}", jaccard=jaccard)
     names = groups.groupBy("key").agg(F.min("component_id").alias("top"), F.count("*").alias("n"))
     names = space.table(names.where("key <> top or n > 1"), "keys")
+    sieve = Sieve(names.select(F.xxhash64("key").alias("hash")), "hash")
+
+    @F.pandas_udf("boolean")
+    def named(hashes: pd.Series) -> pd.Series:
+        return pd.Series(sieve.holds(hashes.to_numpy()))
+
+    # only rows that may be named are joined, so that the texts of all others are not shuffled
+    keyed = keyed.withColumn("named", named(F.xxhash64("key")))
+    free, keyed = keyed.where("not named").drop("named"), keyed.where("named").drop("named")
     gone = names.select(F.col("key").alias("other"))
-    single = keyed.join(gone, keyed["key"] == gone["other"], "left_anti")
+    single = free.unionByName(keyed.join(gone, keyed["key"] == gone["other"], "left_anti"))
     several = names.where("key = top").select(F.col("key").alias("other"))  # equal rows that name a component
     one = keyed.join(several, keyed["key"] == several["other"], "left_semi").dropDuplicates(["key"])
     return single.unionByName(one).drop("key").toDF(*docs.columns)
