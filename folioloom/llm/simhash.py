@@ -42,7 +42,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -387,9 +386,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ja
     names = space.table(names.where("key <> top or n > 1"), "keys")
     sieve = Sieve(names.select(F.xxhash64("key").alias("hash")), "hash")
 
-    @F.pandas_udf("boolean")
-    def named(hashes: pd.Series) -> pd.Series:
-        return pd.Series(sieve.holds(hashes.to_numpy()))
+    @F.arrow_udf("boolean")
+    def named(hashes: pa.Array) -> pa.Array:
+        return pa.array(sieve.holds(hashes.to_numpy()))
 
     # only rows that may be named are joined, so that the texts of all others are not shuffled
     keyed = keyed.withColumn("named", named(F.xxhash64("key")))
