@@ -141,7 +141,9 @@ def json_props(spark, t):
 
 @query("""select page_id, sha256(html) as digest, md5(url) as url_digest, to_base64(encode(url)) as coded from pages""")
 def digests(spark, t):
-    return t("pages").select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.md5(F.encode("url", "UTF-8")).alias("url_digest"), F.base64(F.encode("url", "UTF-8")).alias("coded"))
+    """Digests of a text and its Base64 form, on one line: Spark may break it after 76 characters."""
+    coded = F.translate(F.base64(F.encode("url", "UTF-8")), "\r\n", "")
+    return t("pages").select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.md5(F.encode("url", "UTF-8")).alias("url_digest"), coded.alias("coded"))
 
 
 @query("""select event_id, cast((greatest(year(ts) - 1980, 0) * 512 + month(ts) * 32 + day(ts)) * 65536 + hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 as bigint) as stamp from events""")

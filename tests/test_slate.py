@@ -162,6 +162,16 @@ def test_connected_components_takes_every_order(spark, tmp_path):
     assert {r.node: r.component for r in got} == top and len(got) == len(top)
 
 
+def test_digests_of_long_urls_match_sql(spark, tmp_path):
+    urls = [None, "", "é" * 40, *("http://example.com/" + "x" * n for n in (37, 38, 39, 96, 500))]
+    pages = spark.createDataFrame([(k, u, u) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = slate.QUERIES["digests"](spark, str(tmp_path)).select("page_id", "digest", "url_digest", "coded").collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(slate.SQL["digests"]).fetchall())
+
+
 def test_request_over_the_limit_is_refused(spark):
     df = spark.range(5)
     assert records.guard(df, 5, "rows").count() == 5 and records.guard(df.where("id > 9"), 5, "rows").count() == 0
