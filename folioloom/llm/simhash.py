@@ -31,9 +31,11 @@ of their 5-word shingles are at least so similar.  Such pairs differ in about te
 bits, beyond any grid, so candidates come from MinHash bands: equal in one of
 BANDS bands of ROWS minima (at similarity 0.8, all but 1 in 13,000 are), then a bound
 that needs no sets (their parities differ in no more bits than the sets do in members),
-then the exact similarity.  In a cell of over NEAR_CELL_MOST sets not every pair is a candidate:
-members meet the cell's most central member and one picked by hash, and all
-pairs of each cell that two bands make together if that one is small.
+then the exact similarity.  Every pair of a cell is a candidate that links found earlier
+do not connect.  A cell of over NEAR_CELL_MOST sets is cut into blocks, and each two blocks
+are compared in a place of their own: first members meet the cell's most central member and
+one picked by hash, then each the first member of a block pair that size and parity admit,
+at last all that these admit.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ from folioloom.llm.text import raw_texts, slices
 
 SHINGLE, MAX_BITS, CELL_MOST = 3, 2, 64
 _BLOCKS = (7, 7, 6, 6, 6)  # segments in each block
-NEAR_CELL_MOST = 16
+NEAR_CELL_MOST, NEAR_BLOCK = 16, 512
 NEAR_SHINGLE, BANDS, ROWS, SIEVE_BITS = 5, 24, 5, 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,7 +259,7 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``cells``: sig, key.  Of every cell the pairs a, b of a member and its pivots; all other pairs of the cells that are not crowded; the sigs of the others."""
+    """``cells``: sig, key.  Of every cell the pairs a, b of a member and its pivots; all other pairs of the cells that are not crowded; the members sig, key of the others."""
     shared = space.table(cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-shared")
     members = space.table(cells.join(shared, "key"), f"{name}-members")
     weight = members.groupBy("sig").agg(F.sum("size").alias("weight"))
@@ -266,13 +268,81 @@ def _meetings(cells: DataFrame, space: Workspace, name: str, cell_most: int) ->
     stars = members.join(pivots, "key").select("sig", F.explode(F.when(crowded, F.array("central", "picked")).otherwise(F.array("central"))).alias("pivot")).where("sig <> pivot")
     small = members.where(~crowded).groupBy("key").agg(F.collect_list("sig").alias("sigs"))
     pairs = small.select("sigs", F.explode("sigs").alias("a")).select("a", F.explode("sigs").alias("b")).where("a < b")
-    return stars.select(*_in_order("sig", "pivot")).distinct(), pairs, members.where(crowded).select("sig").distinct()
+    return stars.select(*_in_order("sig", "pivot")).distinct(), pairs, members.where(crowded).select("sig", "key")
 
 
 def _in_order(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _blocks(crowd: DataFrame, labels: DataFrame, about: DataFrame, block: int) -> DataFrame:
+    """``crowd``: sig, key.  key, i, j, block, sig, label, n, parity, sorted: any two members of a cell with different labels meet at one i, j.
+
+    Members with the label that most of a cell have are in blocks of their own, which do not meet each other.
+    """
+    named = crowd.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("size"))
+    rows = named.join(counts.where("size > mains"), "key").join(about, "sig")
+    main, parts, rest = F.col("label") == F.col("main"), F.ceil(F.col("mains") / block), F.ceil((F.col("size") - F.col("mains")) / block)
+    at = F.pmod(F.xxhash64("sig", "key"), F.when(main, parts).otherwise(rest)) + F.when(main, rest).otherwise(0)
+    rows = rows.withColumn("block", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(main, rest).otherwise(rest + parts) - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "label", "n", "parity")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, i, j of sorted batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        cuts = (np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist()
+        for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = tuple(place[:, s].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def admitted(rows: pa.Table, jaccard: float, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks (one, where i = j) with different labels that sizes and parities do not rule out; with ``first`` one pair at most for each second member."""
+    n = rows.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    n, sig, label, block = (rows.column(c).to_numpy()[order] for c in ("n", "sig", "label", "block"))
+    raw = rows.column("parity").to_pylist()
+    parities = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
+    widths, ends = np.array([len(x) for x in parities]), np.searchsorted(jaccard * n, n, side="right")
+    one, free = rows.column("i")[0].as_py() == rows.column("j")[0].as_py(), np.ones(len(n), bool)
+    a, b = [sig[:0]], [sig[:0]]
+    for width in np.unique(widths).tolist():
+        s, e = np.searchsorted(widths, [width, width + 1]).tolist()
+        folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in parities[s : ends[e - 1]]])
+        for x in range(s, e):
+            y = np.arange(x + 1, ends[x])
+            y = y[(label[y] != label[x]) & (one | (block[y] != block[x])) & (free[y] | (not first))]
+            apart = np.bitwise_count(folded[y - s] ^ folded[x - s]).sum(1, dtype=np.int64)
+            y = y[apart * (1 + jaccard) <= (n[y] + n[x]) * (1 - jaccard) + 1e-6]
+            free[y] = False
+            a.append(np.minimum(sig[x], sig[y]))
+            b.append(np.maximum(sig[x], sig[y]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _admitted(crowd: DataFrame, labels: DataFrame, about: DataFrame, jaccard: float, block: int, first: bool) -> DataFrame:
+    """Pairs a, b of the cells' members with different labels that sizes and parities do not rule out (``first``: some of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _places(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in admitted(rows, jaccard, first)], ["a", "b"])
+
+    return _blocks(crowd, labels, about, block).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 class Sieve:
     """Which 64-bit hashes are among those of a table: never no for one that is, seldom yes for another; of bounded size."""
 
@@ -314,7 +384,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return both.where(F.col("n") >= F.lit(jaccard) * (F.col("a_n") + F.col("b_n") - F.col("n"))).select("a", "b")
 
 
-def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, id_col: str = "doc_id", text_col: str = "text", cell_most: int = NEAR_CELL_MOST) -> DataFrame:
+def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: float, id_col: str = "doc_id", text_col: str = "text", cell_most: int = NEAR_CELL_MOST, block: int = NEAR_BLOCK) -> DataFrame:
     """``marked``: as of ``marks`` for ``docs``.  Links a, b of fingerprints that connect all candidates at least ``jaccard`` similar.
 
     Pairs with a cell's pivot are checked first; another candidate only where these links do not connect its ends yet.
@@ -324,9 +394,7 @@ def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: fl
     names = kinds.groupBy("sig").agg(F.min("fp").alias("name"))
     same = kinds.join(names, "sig").where("fp <> name").select(F.col("name").alias("a"), F.col("fp").alias("b"))
     nodes = space.table(rows.groupBy("sig").agg(F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.first("n").alias("n"), F.min("tag").alias("tag")), "nodes")
-    stars, pairs, crowded = _meetings(nodes.select("sig", F.explode(F.transform("bands", lambda key, k: F.xxhash64(key, k))).alias("key")), space, "bands", cell_most)
-    two = F.transform("bands", lambda key, k: F.xxhash64(key, F.element_at("bands", (k + 1) % BANDS + 1), k))
-    finer_stars, finer_pairs, _ = _meetings(nodes.join(space.table(crowded, "crowded"), "sig", "left_semi").select("sig", F.explode(two).alias("key")), space, "finer", cell_most)
+    stars, pairs, crowd = _meetings(nodes.select("sig", F.explode(F.transform("bands", lambda key, k: F.xxhash64(key, k))).alias("key")), space, "bands", cell_most)
     about = [nodes.select(F.col("sig").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "ab"]
     fits = F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n")
 
@@ -338,14 +406,21 @@ def near_links(docs: DataFrame, marked: DataFrame, space: Workspace, jaccard: fl
         tags = space.table(nodes.join(needed, "sig", "left_semi").select("tag"), f"{name}-tags")
         return space.table(_similar(some, _needed_sets(docs, id_col, text_col, tags), jaccard), f"{name}-close")
 
+    def in_crowds(labels: DataFrame, first: bool) -> DataFrame:
+        return _admitted(crowd, labels, nodes.select("sig", "n", "parity"), jaccard, block, first)
+
     stars = space.table(hopeful(stars), "stars")
-    pairs = space.table(hopeful(finer_stars.unionByName(pairs).unionByName(finer_pairs).distinct()), "pairs")
+    pairs = space.table(hopeful(pairs.distinct()), "pairs")
     close = checked(stars, "stars")
     reached = connected_components(close, Workspace(docs.sparkSession, "simhash-near"))
     at = [reached.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
     apart = ~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))
-    left = space.table(pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(apart).select("a", "b"), "left")
-    all_close = close.unionByName(checked(left, "left"))
+    left = pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(apart).select("a", "b")
+    left = space.table(left.unionByName(in_crowds(reached, True)).distinct().join(stars, ["a", "b"], "left_anti"), "left")
+    close = close.unionByName(checked(left, "left"))
+    reached = connected_components(close, Workspace(docs.sparkSession, "simhash-near"))
+    rest = space.table(in_crowds(reached, False).join(stars.unionByName(left), ["a", "b"], "left_anti"), "rest")
+    all_close = close.unionByName(checked(rest, "rest"))
     named = [names.select(F.col("sig").alias(c), F.col("name").alias(f"{c}_fp")) for c in "ab"]
     close_fps = all_close.join(named[0], "a").join(named[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).where("a <> b")
     return same.unionByName(close_fps)
@@ -362,7 +437,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = found.unionByName(near_links(docs, marked, space, jaccard, id_col, text_col, near_cell_most)).distinct()
     found = space.table(found, "links")
     if marked is not None:
-        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "finer-shared", "finer-members", "crowded", "stars", "pairs", "left", "stars-tags", "stars-close", "left-tags", "left-close")
+        space.drop("marks", "kinds", "nodes", "bands-shared", "bands-members", "stars", "pairs", "left", "rest", "stars-tags", "stars-close", "left-tags", "left-close", "rest-tags", "rest-close")
     labels = connected_components(found, space)
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     tops = grouped.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -684,6 +684,53 @@ def test_near_copies_share_a_component(spark, cell_most):
     assert {r.doc_id for r in simhash.keep_one(docs, jaccard=0.8).collect()} == set(top.values())
 
 
+def crowd_of_twins():
+    """Variants of one text, hardly less similar than 0.8, and a near copy of each; most of them share bands."""
+    rng = random.Random(12)
+    table = []
+    for k in range(100):
+        variant = [f"w{j}" for j in range(400)]
+        for j in rng.sample(range(400), 6):
+            variant[j] = f"v{k}x{j}"
+        twin = list(variant)
+        for j in rng.sample(range(400), 8):
+            twin[j] = f"t{k}x{j}"
+        table += [(2 * k, " ".join(variant)), (2 * k + 1, " ".join(twin))]
+    return table
+
+
+def test_crowded_cells_lose_no_near_copy(spark):
+    table = crowd_of_twins()
+    sets = {k: simhash.shingle_set(t.encode()) for k, t in table}
+    bands = {k: set(enumerate(simhash.band_keys(s).tolist())) for k, s in sets.items()}
+    close = [(a, b) for a, b in combinations(sets, 2) for both in [len(np.intersect1d(sets[a], sets[b]))] if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)]
+    assert all(bands[a] & bands[b] for a, b in close) and max(Counter(x for s in bands.values() for x in s).values()) > simhash.NEAR_CELL_MOST
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    tops = brute_near(dict(table), 0.8)
+    assert len(set(tops.values())) > 20
+    assert {r.doc_id: r.component_id for r in simhash.components(docs, jaccard=0.8).collect()} == tops
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_blocks_admit_what_pairs_admit(spark, block):
+    texts = dict(crowd_of_twins()[:60] + [(100 + k, " ".join(f"z{j}" for j in range(k, 2 * k + 80))) for k in range(0, 1200, 40)])
+    sets = {k: simhash.shingle_set(t.encode()) for k, t in texts.items()}
+    about = spark.createDataFrame([(k, len(s), simhash.parity(s)) for k, s in sets.items()], "sig long, n long, parity binary")
+    labels = {k: k // 4 for k in sets if k % 3}
+    name = {k: labels.get(k, k) for k in sets}
+    crowd = [(k, key) for key in (5, 6, 7) for k in sets if k % key]
+    want = set()
+    for (a, x), (b, y) in combinations(sorted(crowd), 2):
+        small, large = sorted((len(sets[a]), len(sets[b])))
+        apart = simhash.least_difference(simhash.parity(sets[a]), simhash.parity(sets[b]))
+        if x == y and name[a] != name[b] and small >= 0.8 * large and apart * 1.8 <= (small + large) * 0.2 + 1e-6:
+            want.add((a, b))
+    named = spark.createDataFrame(list(labels.items()), "node long, label long")
+    crowd = spark.createDataFrame(crowd, "sig long, key long")
+    got = lambda first: {tuple(r) for r in simhash._admitted(crowd, named, about, 0.8, block, first).collect()}
+    assert got(False) == want and (got(True) < want if block > len(sets) else got(True) <= want)
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(k * 17 % 1000, (k + 1) * 17 % 1000) for k in range(999)] + [(5000, 5001), (7, 7)]
     got = components.connected_components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t")).collect()
